@@ -25,6 +25,8 @@ from .common import with_arrow
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Texts of fewer bytes are written twice.
+SHORT = 256
 FIELDS = [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("margin", T.DoubleType(), False), T.StructField("rejected", T.BooleanType(), False)]
 
 
@@ -33,7 +35,7 @@ class CompressionModel:
     """Dictionaries by language, in the languages' order."""
 
     dictionaries: tuple[tuple[str, bytes], ...]
-    level: int = 3
+    level: int = 6
     least_margin: float = 0.004
 
     def classifier(self):
@@ -48,6 +50,8 @@ class CompressionModel:
             if not text or not coders or not LETTER.search(text):
                 return UNKNOWN, 0.0, 0.0, True
             data = text.lower().encode("utf-8", "surrogatepass")
+            if len(data) < SHORT:  # a coder stores what it can't shorten; a second copy costs the same in every language
+                data += b"\n" + data
             sizes = [len(c.compress(data)) for _, c in coders]
             best = min(sizes)
             at = sizes.index(best)
@@ -61,7 +65,7 @@ class CompressionModel:
         return classify
 
 
-def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 96, slice_chars: int = 2048, dictionary_bytes: int = 112_640, level: int = 3, least_margin: float = 0.004) -> CompressionModel:
+def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 96, slice_chars: int = 2048, dictionary_bytes: int = 112_640, level: int = 6, least_margin: float = 0.004) -> CompressionModel:
     """Dictionaries from ``text`` and ``lang`` of the rows where ``usable`` holds.
 
     Bounded sample: ``per_language`` texts each, those whose ids hash lowest, and of each at most ``slice_chars`` characters.

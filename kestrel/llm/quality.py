@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 SIGNIFICANT = 7
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Per metric: the least distance of the fence from the quartile, in the metric's unit.
-SLACK = {"symbols": 400, "dup_lines": 2500, "repeats": 2000, "word_len": 250}
+SLACK = {"symbols": 400, "dup_lines": 4000, "repeats": 3000, "word_len": 300}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*COUNTS, "n_lines", "base_failed", "kept", *SLACK)
 

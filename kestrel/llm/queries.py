@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, simhash, toxicity, urls
+from . import langid, mixing, quality, simhash, template, toxicity, urls
 from .oracles import RULES
 
 
@@ -18,6 +18,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", *quality.COUNTS[:3], "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return template.read_digests(template.format_conversations(rows))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -46,4 +52,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.coalesce(langid.fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_simhash, op7_mixing, op8_urls, op9_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_chat, op4_simhash, op7_mixing, op8_urls, op9_language, op10_toxicity)}

@@ -116,8 +116,6 @@ def decode(token: str, logp: np.ndarray) -> str:
     """The best reading of a lower-case token."""
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for slot in lattice(token):
-        if len(slot) == 1 and len(states) == 1:  # nothing to choose here; the score is owed all the same
-            pass
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, path) in states.items():
             for read, cost in slot:
@@ -246,7 +244,7 @@ def restored(docs: DataFrame, model: ToxicityModel, wanted: set[str] | None) ->
     return with_arrow(docs, make, [T.StructField("words", T.ArrayType(T.StringType()), False)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = 20_000, vocabulary: int = 512, penalty: float = 1.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = 20_000, vocabulary: int = 512, penalty: float = 0.05) -> ToxicityModel:
     """Character model over all of ``docs``; weights from at most ``sample_rows`` labelled rows (doc_id, toxic), those whose ids
     hash lowest, over at most ``vocabulary`` words that tell the classes apart best."""
     model = ToxicityModel(char_model(docs))

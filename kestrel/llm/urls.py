@@ -32,8 +32,8 @@ class Rule:
 
 
 ADDED = ("host", "path", "rule", "verdict", "template", "purity")
-#: A segment that is a number (with or without an extension), a hash, a UUID or a long mixture with digits.
-VARIABLE = r"^[0-9]+([._-].*)?$|^(?=.*[0-9])[0-9a-fA-F-]{8,}$|^(?=.*[0-9]).{24,}$"
+#: A segment that is a number (perhaps with an extension); with a digit, a hash or UUID; with a digit, a long mixture.
+NUMBER, HEX, LONG = r"^[0-9]+([._-](?s:.*))?\z", r"^[0-9a-fA-F-]{8,}\z", 24
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -55,9 +55,13 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def variable(s: Column) -> Column:
+    return s.rlike(NUMBER) | (s.rlike("[0-9]") & (s.rlike(HEX) | (F.length(s) >= LONG)))
+
+
 def shape(path: Column, depth: int) -> Column:
     """Path segments with variable ones as ``*``; what lies below ``depth`` becomes one last ``**``."""
-    segments = F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    segments = F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.when(variable(s), F.lit("*")).otherwise(s))
     return F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
 
 
