@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, order, pieces, quality, simhash, template, toxicity, urls
+from . import bm25, langid, mixing, order, pieces, quality, simhash, template, toxicity, urls
 from .oracles import RULES
 
 
@@ -51,6 +51,11 @@ def op5_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bm25.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, k=10)
+    return t.withColumn("score", F.round("score", 6))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -75,4 +80,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.coalesce(langid.fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_training_order, op3_chat, op4_simhash, op5_subwords, op7_mixing, op8_urls, op9_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_training_order, op3_chat, op4_simhash, op5_subwords, op6_search, op7_mixing, op8_urls, op9_language, op10_toxicity)}
