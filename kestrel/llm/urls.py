@@ -81,7 +81,7 @@ def template_tree(pages: DataFrame, depth: int = 4, z: float = 1.96, strength: f
         alike = ~F.coalesce((F.col("cl") > 0) & F.when(F.col("cl") > 0, far), F.lit(False))
         named = child.join(parent, ["host", "template"]).select("host", "template", "seg", F.when(alike | F.col("seg").isin("*", "**"), F.lit("*")).otherwise(F.col("seg")).alias("as"))
         t = t.join(named, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("as").isNotNull(), F.concat_ws("/", "template", "as")).otherwise(F.col("template"))).drop("seg", "as")
-    t = materialize(t, "url-templates")
+        t = materialize(t, "url-templates")  # a level's plan holds the one above three times
     node = t.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))
     host = t.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     total = t.agg(F.sum("labelled"), F.sum("bad")).first()
