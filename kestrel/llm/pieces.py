@@ -198,12 +198,16 @@ class Lattices:
         lengths.append(np.ones(len(missing), np.int32))
         ids.append(np.array(codes, np.int32))
         start, length, piece = np.concatenate(starts[::-1]), np.concatenate(lengths[::-1]), np.concatenate(ids[::-1])
+        del starts, lengths, ids, live, single, code, inside
         p, w = pos[start], word[start]
-        node = self.base[p] + w
-        order = np.argsort((node << 8) - length)  # a node has one edge of a length at most
-        node, piece, w = node[order], piece[order], w[order]
-        self.piece, self.target, self.source = piece, self.base[(p + length)[order]] + w, node
-        lw = np.where(piece >= 0, v.logw[np.maximum(piece, 0)], v.log_fallback)
+        del start, pos, word
+        base = self.base.astype(np.int32)
+        node = base[p] + w
+        order = np.argsort((node.astype(np.int64) << 8) - length)  # a node has one edge of a length at most
+        self.piece, self.source = piece[order], node[order]
+        self.target = (base[p + length] + w)[order]
+        piece, node = self.piece, self.source
+        del order, p, w, length
         n_nodes = int(self.base[-1])
         counts = np.bincount(node, minlength=n_nodes)
         self.first_edge = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
@@ -214,12 +218,14 @@ class Lattices:
             a, b = self.first_edge[lo], self.first_edge[hi]
             if a == b:
                 continue
-            val[a:b] = lw[a:b] + beta[self.target[a:b]]
+            val[a:b] = v.logw[np.maximum(piece[a:b], 0)] + beta[self.target[a:b]]
+            val[a:b][piece[a:b] < 0] += v.log_fallback - v.logw[0]
             begin = self.first_edge[lo:hi] - a
             top = np.maximum.reduceat(val[a:b], begin)
             total = np.add.reduceat(np.exp(val[a:b] - np.repeat(top, counts[lo:hi])), begin)
             beta[lo:hi] = top + np.log(total)
-        self.logq = val - beta[node]
+        val -= beta[node]
+        self.logq = val
         q = np.exp(self.logq)
         self.cdf = np.cumsum(q)
         self.cdf -= np.repeat((self.cdf - q)[self.first_edge[:-1][counts > 0]], counts[counts > 0])
@@ -480,7 +486,7 @@ def log_inclusion(log_prob: np.ndarray, threshold: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(threshold), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 30))))))
 
 
-def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 4_000_000) -> Iterator[tuple[int, list]]:
+def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 2_500_000) -> Iterator[tuple[int, list]]:
     """(row, samples as (ids, log probability, perturbed value, log inclusion)) for rows with a text, some at a time."""
     texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
     at = 0
