@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -88,3 +90,10 @@ def dense_index(df: DataFrame, order: list[Column], name: str, label: str) -> Da
     w = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = t.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))
     return t.withColumn("__part", part).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__at") - F.shiftleft(F.col("__part"), 33)).drop("__part", "__start", "__at")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what they hold counts against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_arrow
+from .common import give_back, with_arrow
 
 SPACE_MARK = "▁"
 #: Log probability below which a prefix cannot matter beside the sets that branch off before it.
@@ -486,7 +486,7 @@ def log_inclusion(log_prob: np.ndarray, threshold: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(threshold), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 30))))))
 
 
-def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 2_500_000) -> Iterator[tuple[int, list]]:
+def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 1_000_000) -> Iterator[tuple[int, list]]:
     """(row, samples as (ids, log probability, perturbed value, log inclusion)) for rows with a text, some at a time."""
     texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
     at = 0
@@ -508,6 +508,8 @@ def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 2
                 if s.exists[j]:
                     out.append((seq[begin[j] : begin[j + 1]], float(s.log_prob[j]), float(s.perturbed[j]), float(inc[j])))
             yield i, out
+        del samples, lat, threshold, flat, score
+        give_back()
 
 
 SAMPLE = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("perturbed", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType())])
