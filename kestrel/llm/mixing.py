@@ -81,7 +81,8 @@ def plan(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     floor = F.shiftleft("__prefix", HASH_BITS - spent) - 1
     cuts = materialize(cuts.select("__s", F.coalesce("__take", floor).alias("__cut")), "mix-cuts")
     joined = t.join(cuts, F.col("source").eqNullSafe(F.col("__s")), "left")
-    return joined.select("source", "source_size", "target", "__whole", F.coalesce("__cut", F.lit(-1).cast("long")).alias("__cut"))
+    out = joined.select("source", "source_size", "target", "__whole", F.coalesce("__cut", F.lit(-1).cast("long")).alias("__cut"))
+    return materialize(out, "mix-decisions")  # its size is known now: few sources are broadcast to the texts, many are not
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, budget: float = 1.0) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, with_arrow, without
+from .common import checked_broadcast, discard, materialize, with_arrow
 
 FINGERPRINT = T.StructField("__fp", T.LongType(), False)
 FANOUT = 8
@@ -370,15 +370,15 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     same = texts.join(nodes.withColumnRenamed("node", "rep"), "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     wide = links(nodes, radius, projection_keys(tables, bits), candidate_links)
     pairs = materialize(wide.unionByName(same), "dedup-pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(_shingle_sets(docs.join(involved, docs["doc_id"] == involved["id"], "left_semi").select("doc_id", "text"), words), "dedup-sets")
+    involved = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dedup-involved")
+    sets = materialize(_shingle_sets(docs.join(checked_broadcast(involved), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text"), words), "dedup-sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    close = pairs.join(left, "a").join(right, "b").filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    close = checked_broadcast(pairs).join(left, "a").join(right, "b").filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
     roots = components(close).filter("node <> root")
     copies = rows.filter("__has").join(texts.select("__text", "node"), "__text").filter("doc_id > node").select("doc_id")
-    gone = materialize(copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "dedup-gone").withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = materialize(copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "dedup-gone")
+    return docs.join(checked_broadcast(gone).withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -392,4 +392,4 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
 
 
-__all__ = ["near_groups", "deduplicate", "GrayIndex", "gray_rank", "star_links", "candidate_links", "components", "links", "without"]
+__all__ = ["near_groups", "deduplicate", "GrayIndex", "gray_rank", "star_links", "candidate_links", "components", "links"]
