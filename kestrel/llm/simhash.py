@@ -360,7 +360,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 
     Exact copies (equal texts) fall together first.  Of the rest, fingerprints of the distinct words (an edit of one word moves
     one feature, not ``words`` of them) propose candidates within a wide radius, and the shingle sets of both texts decide.
-    The row with the smallest doc_id stays; rows with a null doc_id stay, and so do texts without a word.
+    The row with the smallest doc_id stays (rows that repeat a doc_id stay or go together); rows with a null doc_id stay, and so do texts without a word.
     """
     text_key = F.struct(F.xxhash64("text"), F.md5("text")).alias("__text")
     rows = materialize(with_fingerprint(docs.filter("doc_id is not null").select("doc_id", "text"), words, "words").select("doc_id", "__fp", text_key, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("__has")), "dedup-fp")
