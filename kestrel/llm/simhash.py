@@ -389,7 +389,7 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", words)), np.uint64)).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
+    return docs.mapInArrow(run, "doc_id long, s array<long>")  # rows that repeat an id repeat links, which is harmless
 
 
 __all__ = ["near_groups", "deduplicate", "GrayIndex", "gray_rank", "star_links", "candidate_links", "components", "links"]
