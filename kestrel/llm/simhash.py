@@ -36,6 +36,8 @@ from .common import checked_broadcast, discard, materialize, with_arrow
 FINGERPRINT = T.StructField("__fp", T.LongType(), False)
 FANOUT = 8
 BLOCKS = 6
+#: Verifying candidates: hashes in a sketch, and how far under the asked similarity a sketch may put a pair that goes on.
+SKETCH, SLACK = 128, 0.2
 
 
 # ---- fingerprints -----------------------------------------------------------------------------------------------------
@@ -370,26 +372,61 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     same = texts.join(nodes.withColumnRenamed("node", "rep"), "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     wide = links(nodes, radius, projection_keys(tables, bits), candidate_links)
     pairs = materialize(wide.unionByName(same), "dedup-pairs")
-    involved = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dedup-involved")
-    sets = materialize(_shingle_sets(docs.join(checked_broadcast(involved), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text"), words), "dedup-sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    close = checked_broadcast(pairs).join(left, "a").join(right, "b").filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    close = _close(docs, pairs, words, similarity)
     roots = components(close).filter("node <> root")
     copies = rows.filter("__has").join(texts.select("__text", "node"), "__text").filter("doc_id > node").select("doc_id")
     gone = materialize(copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "dedup-gone")
+    discard(rows, texts, nodes, pairs, close)
     return docs.join(checked_broadcast(gone).withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
-def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, s): sorted distinct 64-bit hashes of the shingles."""
+def _close(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The stored pairs (a, b) whose shingle sets have at least ``similarity``.
+
+    Whole sets are sent only for pairs that can still be close: first the sets' sizes must allow it, which loses nothing; then
+    the ``SKETCH`` smallest hashes of both sets must not put the pair ``SLACK`` below the asked similarity.  A sketch of 128
+    errs by 0.035 (one standard deviation), so a close pair is refused with a chance under one in ten million.
+    """
+    sketches = _hashes(_involved(docs, pairs, "dedup-involved"), words, SKETCH, "dedup-sketches")
+    size = sketches.select("doc_id", "n").distinct()
+    sized = pairs.join(_named(size, "a"), "a").join(_named(size, "b"), "b")
+    fits = materialize(sized.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"), "dedup-fits")
+    upto = F.least(*[F.when(F.col(f"n_{x}") > SKETCH, F.element_at(f"s_{x}", -1)) for x in "ab"])  # least() passes over nulls
+    seen = lambda x: F.when(upto.isNull(), F.size(f"s_{x}")).otherwise(F.size(F.filter(f"s_{x}", lambda h: h <= upto)))
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    alike = common >= (similarity - SLACK) * (seen("a") + seen("b") - common)
+    likely = materialize(_with_both(fits, sketches).filter(alike).select("a", "b").distinct(), "dedup-likely")
+    sets = _hashes(_involved(docs, likely, "dedup-likely-ids"), words, None, "dedup-sets")
+    exact = common >= similarity * (F.col("n_a") + F.col("n_b") - common)
+    close = materialize(_with_both(likely, sets).filter(exact).select("a", "b"), "dedup-close")
+    discard(sketches, fits, likely, sets)
+    return close
+
+
+def _named(table: DataFrame, side: str) -> DataFrame:
+    return table.select(*[F.col(c).alias(side if c == "doc_id" else f"{c}_{side}") for c in table.columns])
+
+
+def _with_both(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    return checked_broadcast(pairs).join(_named(hashes, "a"), "a").join(_named(hashes, "b"), "b")
+
+
+def _involved(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text) of the documents that are in a pair."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), label)
+    return docs.join(checked_broadcast(ids), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text")
+
+
+def _hashes(docs: DataFrame, words: int, most: int | None, label: str) -> DataFrame:
+    """Stored (doc_id, n, s): how many distinct shingles a text has and their sorted hashes, all or the ``most`` smallest."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", words)), np.uint64)).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", words)), np.uint64).view(np.int64)) for t in b.column("text").to_pylist()]
+            kept = pa.array([s[:most] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), kept], names=["doc_id", "n", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")  # rows that repeat an id repeat links, which is harmless
+    return materialize(docs.mapInArrow(run, "doc_id long, n int, s array<long>"), label)  # rows that repeat an id repeat links, which is harmless
 
 
 __all__ = ["near_groups", "deduplicate", "GrayIndex", "gray_rank", "star_links", "candidate_links", "components", "links"]
