@@ -73,6 +73,7 @@ def with_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
         step = make()
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=[*b.schema.names, *names])
+            give_back()
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields]))
 

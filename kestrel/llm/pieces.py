@@ -486,7 +486,7 @@ def log_inclusion(log_prob: np.ndarray, threshold: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(threshold), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 30))))))
 
 
-def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 1_000_000) -> Iterator[tuple[int, list]]:
+def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 250_000) -> Iterator[tuple[int, list]]:
     """(row, samples as (ids, log probability, perturbed value, log inclusion)) for rows with a text, some at a time."""
     texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
     at = 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked_broadcast, discard, materialize, with_arrow
+from .common import checked_broadcast, discard, give_back, materialize, with_arrow
 
 FINGERPRINT = T.StructField("__fp", T.LongType(), False)
 FANOUT = 8
@@ -258,6 +258,7 @@ def _search(links, radius: int):
         if len(a):
             pair = np.unique(np.stack([np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+        give_back()
 
     def run(batches):
         held, n = [], 0
@@ -425,6 +426,8 @@ def _hashes(docs: DataFrame, words: int, most: int | None, label: str) -> DataFr
             sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", words)), np.uint64).view(np.int64)) for t in b.column("text").to_pylist()]
             kept = pa.array([s[:most] for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), kept], names=["doc_id", "n", "s"])
+            del sets, kept
+            give_back()
 
     return materialize(docs.mapInArrow(run, "doc_id long, n int, s array<long>"), label)  # rows that repeat an id repeat links, which is harmless
 
