@@ -386,7 +386,7 @@ def _close(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
 
     Whole sets are sent only for pairs that can still be close: first the sets' sizes must allow it, which loses nothing; then
     the ``SKETCH`` smallest hashes of both sets must not put the pair ``SLACK`` below the asked similarity.  A sketch of 128
-    errs by 0.035 (one standard deviation), so a close pair is refused with a chance under one in ten million.
+    errs by 0.035 (one standard deviation), so a close pair is refused with a chance under one in a million.
     """
     sketches = _hashes(_involved(docs, pairs, "dedup-involved"), words, SKETCH, "dedup-sketches")
     size = sketches.select("doc_id", "n").distinct()
