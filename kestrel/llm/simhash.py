@@ -38,6 +38,8 @@ FANOUT = 8
 BLOCKS = 6
 #: Verifying candidates: hashes in a sketch, and how far under the asked similarity a sketch may put a pair that goes on.
 SKETCH, SLACK = 128, 0.2
+#: Counters for the order of shingles, and how many of them are sent together.
+SLOTS, CHUNK = 1 << 20, 4096
 
 
 # ---- fingerprints -----------------------------------------------------------------------------------------------------
@@ -363,6 +365,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 
     Exact copies (equal texts) fall together first.  Of the rest, fingerprints of the distinct words (an edit of one word moves
     one feature, not ``words`` of them) propose candidates within a wide radius, and the shingle sets of both texts decide.
+    These are few and may miss a pair; so every pair that they left in two groups is then looked for with :func:`_apart`, which
+    proposes all that can be close, and decided by its sets too.
     The row with the smallest doc_id stays (rows that repeat a doc_id stay or go together); rows with a null doc_id stay, and so do texts without a word.
     """
     text_key = F.struct(F.xxhash64("text"), F.md5("text")).alias("__text")
@@ -374,13 +378,125 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     wide = links(nodes, radius, projection_keys(tables, bits), candidate_links)
     pairs = materialize(wide.unionByName(same), "dedup-pairs")
     close = _close(docs, pairs, words, similarity)
-    roots = components(close).filter("node <> root")
+    first = materialize(components(close), "dedup-first")
+    label = F.coalesce("root", "node").alias("label")
+    labelled = materialize(texts.select("node").distinct().join(first, "node", "left").select("node", label), "dedup-labels")
+    apart = materialize(_apart(docs, labelled, words, similarity), "dedup-apart")
+    rest = _close(docs, apart, words, similarity)
+    roots = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)).filter("node <> root")
     copies = rows.filter("__has").join(texts.select("__text", "node"), "__text").filter("doc_id > node").select("doc_id")
     gone = materialize(copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "dedup-gone")
-    discard(rows, texts, nodes, pairs, close)
+    discard(rows, texts, nodes, pairs, close, first, labelled, apart, rest)
     return docs.join(checked_broadcast(gone).withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
+def _set(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(text or "", words)), np.uint64))
+
+
+def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """uint32[SLOTS]: about how many texts have a shingle of each slot.  Used for an order only, so a partition's counts may end at 65535."""
+    most = np.iinfo(np.uint16).max
+
+    def count(batches):
+        held = np.zeros(SLOTS, np.uint32)
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                np.add.at(held, (_set(t, words) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        held = np.minimum(held, most).astype(np.uint16).reshape(-1, CHUNK)
+        found = np.flatnonzero(held.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([held[i].tobytes() for i in found], pa.binary())], names=["chunk", "counts"])
+        give_back()
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[i] = held.get(i, 0) + np.frombuffer(x, np.uint16).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
+
+    sent = texts.select("text").mapInArrow(count, "chunk long, counts binary").repartition("chunk")
+    out = np.zeros((SLOTS // CHUNK, CHUNK), np.uint32)
+    for r in sent.mapInArrow(add, "chunk long, counts binary").collect():  # SLOTS numbers
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.reshape(-1)
+
+
+def _apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int = 32768) -> DataFrame:
+    """All pairs (a, b) of documents ``node`` with different ``label`` whose shingle sets may have ``similarity``.
+
+    Prefix filtering: in one order of all shingles, rare ones first, two sets of n and m that are close share one of the first
+    n - ceil(similarity n) + 1 and m - ceil(similarity m) + 1.  At the first that they share, what is left of both sets must
+    allow the overlap.  Any order is right; the rare first keeps buckets small.  Pairs in one group already are not made.
+    """
+    texts = docs.join(checked_broadcast(labelled), docs["doc_id"] == F.col("node")).select("node", "label", "text")
+    slots = _slot_counts(texts, words)
+
+    def first_ones(batches):
+        for b in batches:
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for node, label, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s = _set(text, words)
+                often = slots[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+                take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+                order = np.lexsort((s, often))[:take]
+                key, at, tiles = s[order], np.arange(len(order)), -(-often[order].astype(np.int64) // tile)
+                if len(tiles) and tiles.max() > 1:  # a hot bucket's rows go to every pair of tiles that holds theirs
+                    tiles = np.maximum(tiles, 1)
+                    own = np.repeat((xxhash.xxh64_intdigest(str(node), 7) % tiles.astype(object)).astype(np.int64), tiles)
+                    other = np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+                    key, at = np.repeat(key, tiles), np.repeat(at, tiles)
+                    mark = np.minimum(own, other) * 65536 + np.maximum(own, other)
+                    key = key ^ (mark.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                cols[0].append(key.view(np.int64))
+                cols[1].append(np.full(len(key), node))
+                cols[2].append(np.full(len(key), label))
+                cols[3].append(at + (len(s) << 32))
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["key", "node", "label", "place"])
+            give_back()
+
+    def meet(key, node, label, place):
+        order = np.lexsort((label, key))
+        key, node, label, place = key[order], node[order], label[order], place[order]
+        n, at = place >> 32, place & 0xFFFFFFFF
+        new = np.append(True, key[1:] != key[:-1])
+        end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+        new |= np.append(True, label[1:] != label[:-1])
+        after = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+        width = end - after  # members of the bucket with a later label
+        for part in _parts(width, 2_000_000):
+            w = width[part]
+            a = np.repeat(np.arange(part.start, part.stop), w)
+            b = np.repeat(after[part], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+            fit = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6
+            fit &= np.minimum(n[a] - at[a], n[b] - at[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6
+            a, b = node[a[fit]], node[b[fit]]
+            if len(a):
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+        give_back()
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(tuple(b.column(i).to_numpy() for i in range(4)))
+            n += b.num_rows
+            if n >= 400_000:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
+                if cut:
+                    yield from meet(*(c[:cut] for c in cols))
+                held, n = [tuple(c[cut:] for c in cols)], len(cols[0]) - cut
+        if n:
+            yield from meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = texts.mapInArrow(first_ones, "key long, node long, label long, place long")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return found.filter("a <> b").groupBy("a", "b").agg(F.lit(1).alias("__one")).select("a", "b")
+
+
 def _close(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The stored pairs (a, b) whose shingle sets have at least ``similarity``.
 
@@ -423,7 +539,7 @@ def _hashes(docs: DataFrame, words: int, most: int | None, label: str) -> DataFr
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(t or "", words)), np.uint64).view(np.int64)) for t in b.column("text").to_pylist()]
+            sets = [np.sort(_set(t, words).view(np.int64)) for t in b.column("text").to_pylist()]
             kept = pa.array([s[:most] for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), kept], names=["doc_id", "n", "s"])
             del sets, kept
