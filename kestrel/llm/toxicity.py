@@ -2,7 +2,8 @@
 
 A token is read as a lattice.  A digit or sign that looks like a letter may stand for it (at a token's edge also for
 nothing), separators inside a word stand for nothing, a run of three or more equal letters for one or two of them, and
-letters spaced out one by one for a word.  The path that the channel and a character trigram model like best is the restored
+letters spaced out one by one for words: every piece of three characters or more of such a run is read as a word too, so words
+before or after it in the run don't hide it (nor does a longer word around it: "c l a s s" has all its pieces).  The path that the channel and a character trigram model like best is the restored
 word.  The model counts the trigrams of all words of the whole corpus; its alphabet is fixed, so its size is bounded.
 
 A logistic regression over restored words is fitted on a bounded sample of labelled rows.  When scoring, a token is decoded
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +39,7 @@ LOOKALIKE = {
 #: Letters that some sign may both stand for are one class of the skeleton: b and g by 6, i and l by 1.
 SKELETON = {"g": "b", "l": "i"} | {k: {"g": "b", "l": "i"}.get(v[0], v[0]) for k, v in LOOKALIKE.items()}
 SEPARATOR = re.compile(r"[^\w@$!|+(€£]|_")
+LONG = re.compile(r"(.)\1{3,}", re.DOTALL)
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 #: Classes of the trigram model: 0 boundary, 1-26 a-z, 27-58 the letters from U+00DF to U+00FF, 59 any other letter.
 CLASSES = 64
@@ -112,8 +115,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return slots
 
 
-def decode(token: str, logp: np.ndarray) -> str:
-    """The best reading of a lower-case token."""
+def decode(token: str, logp: np.ndarray, most: int | None = None) -> str:
+    """The best reading of a lower-case token; of one longer than ``most`` letters only its first ``most`` + 1."""
+    end = None if most is None else most + 1
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for slot in lattice(token):
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
@@ -125,7 +129,7 @@ def decode(token: str, logp: np.ndarray) -> str:
                     x, y = y, k
                 old = nxt.get((x, y))
                 if old is None or s > old[0]:
-                    nxt[x, y] = (s, path + read)
+                    nxt[x, y] = (s, (path + read)[:end])
         states = nxt
     return max((s + float(logp[a, b, 0]), p) for (a, b), (s, p) in states.items())[1]
 
@@ -138,24 +142,25 @@ def _class_of(s: str) -> list[int]:
     return out
 
 
-def skeletons(token: str) -> list[str]:
-    """Skeletons of all readings: that of the token with each of its edges of look-alike signs read or dropped."""
-    bare = SEPARATOR.sub("", token)
-    core = bare
-    left = 0
-    while left < len(core) and not core[left].isalpha():
+def skeletons(token: str, most: int | None = None) -> Iterator[str]:
+    """Skeletons of all readings, of ``most`` characters at most: the token with its edges of look-alike signs read or dropped."""
+    core = SEPARATOR.sub("", token)
+    left, right = 0, len(core)
+    while left < right and not core[left].isalpha():
         left += 1
-    right = len(core)
     while right > left and not core[right - 1].isalpha():
         right -= 1
-    if not left and right == len(core):
-        return [_skeleton(core)]
-    # any part of an edge may be dropped, run by run
-    heads = [i for i in range(left + 1) if i in (0, left) or core[i] != core[i - 1]]
-    tails = [i for i in range(right, len(core) + 1) if i in (right, len(core)) or core[i] != core[i - 1]]
-    if left == len(core):  # no letter at all: every reading or none
-        return [_skeleton(core[i:j]) for i in heads for j in [*tails, *heads] if j > i] or [""]
-    return [_skeleton(core[i:j]) for i in heads for j in tails]
+    most = len(core) if most is None else most
+    head, middle, tail = _skeleton(core[:left]), _skeleton(core[left:right]), _skeleton(core[right:])
+    if not middle:  # no letter at all: every reading or none
+        yield ""
+        for i in range(len(head)):
+            for j in range(i + 1, min(len(head), i + most) + 1):
+                yield head[i:j]
+    elif len(middle) <= most:  # any part of an edge may be dropped, run by run
+        for i in range(max(0, len(head) - most), len(head) + 1):
+            for j in range(min(len(tail), most) + 1):
+                yield _skeleton(head[i:] + middle + tail[:j])
 
 
 def _skeleton(s: str) -> str:
@@ -168,15 +173,30 @@ def _skeleton(s: str) -> str:
     return "".join(out)
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case tokens; letters spaced out one by one are also given as one token."""
+def tokens(text: str, longest: int = 0) -> list[str]:
+    """Lower-case tokens; letters spaced out one by one are also given as one token and as all its pieces that may be a word of
+    up to ``longest`` letters."""
     low = text.lower()
     found = low.split()
     for m in SPACED.finditer(low):
         found.append("".join(m.group().split()))
+        found.extend(pieces(found[-1], longest))
     return found
 
 
+def pieces(run: str, longest: int) -> Iterator[str]:
+    """Parts of three characters or more of a run.  Each run of equal characters in them is a letter at least."""
+    run = LONG.sub(r"\1\1\1", SEPARATOR.sub("", run))
+    for i in range(len(run)):
+        runs = 0
+        for j in range(i, len(run)):
+            runs += j == i or run[j] != run[j - 1]
+            if runs > longest:
+                break
+            if j >= i + 2:
+                yield run[i : j + 1]
+
+
 def plain(token: str) -> bool:
     """Has the token a single reading, itself?"""
     return token.isalpha() and not re.search(r"(.)\1\1", token)
@@ -194,6 +214,8 @@ class ToxicityModel:
         """token -> restored word, or "" if it can't be one of ``wanted`` (None: all words are wanted)."""
         known: dict[str, str] = {}
         shapes = None if wanted is None else {_skeleton(w) for w in wanted}
+        widest = max(map(len, shapes), default=0) if shapes is not None else None
+        longest = max(map(len, wanted), default=0) if wanted is not None else None
         edge = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
         logp = self.logp
 
@@ -207,12 +229,13 @@ class ToxicityModel:
                     out = ""
                 elif plain(bare):
                     out = bare if wanted is None or bare in wanted else ""
-                elif len(bare) > 64 or (shapes is not None and not any(s in shapes for s in skeletons(bare))):
+                elif shapes is not None and not any(s in shapes for s in skeletons(bare, widest)):
                     out = ""
                 else:
-                    out = decode(bare, logp)
+                    out = decode(LONG.sub(r"\1\1\1", bare), logp, longest)  # a run of three reads like any longer one
                     out = out if wanted is None or out in wanted else ""
-                known[token] = out
+                if len(token) <= 64:
+                    known[token] = out
             return out
 
         return restore
@@ -220,9 +243,10 @@ class ToxicityModel:
     def scorer(self):
         """text -> (score, restored words that carry weight)."""
         restore, weights, bias = self.restorer(set(self.weights)), self.weights, self.bias
+        longest = max(map(len, weights), default=0)
 
         def score(text: str | None) -> tuple[float, list[str]]:
-            hits = sorted({restore(t) for t in set(tokens(text))} - {""}) if text else []
+            hits = sorted({restore(t) for t in set(tokens(text, longest))} - {""}) if text else []
             z = bias + sum(weights[w] for w in hits)
             return 1 / (1 + math.exp(-max(-60.0, min(60.0, z)))), hits
 
@@ -234,9 +258,10 @@ def restored(docs: DataFrame, model: ToxicityModel, wanted: set[str] | None) ->
 
     def make():
         restore = model.restorer(wanted)
+        longest = max(map(len, wanted or ()), default=0)
 
         def step(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = [sorted({restore(t) for t in set(tokens(x))} - {""}) if x else [] for x in batch.column("text").to_pylist()]
+            out = [sorted({restore(t) for t in set(tokens(x, longest))} - {""}) if x else [] for x in batch.column("text").to_pylist()]
             return [pa.array(out, pa.list_(pa.string()))]
 
         return step
