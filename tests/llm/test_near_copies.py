@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from kestrel.llm import simhash
 
 DOC = "doc_id long, text string"
@@ -32,3 +34,30 @@ def test_reordered_texts_do_not_hide_near_copies(spark):
         texts += [" ".join(words), " ".join(copy)]
     docs = spark.createDataFrame(list(enumerate(texts)), DOC)
     assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == brute_force(texts) == list(range(0, 80, 2))
+
+
+def with_added_text():
+    """Pairs of a text and a copy with 15 to 27 % more at its end (similarity about 0.79 to 0.87), some with a common line."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(20000)}" for _ in range(rng.randrange(100, 400))]
+        more = [f"w{rng.randrange(20000)}" for _ in range(int(len(words) * rng.uniform(0.15, 0.27)))]
+        texts += [" ".join(words), " ".join(words + more)]
+    return texts + ["one line that all of them have in common " * 3 + t for t in texts[:20]]
+
+
+def test_copies_with_added_text_are_removed(spark):
+    texts = with_added_text()
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == brute_force(texts)
+
+
+@pytest.mark.parametrize("tile", [32768, 5])
+def test_pairs_near_the_asked_similarity_are_all_proposed(spark, tile):
+    texts = with_added_text()
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    close = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    labelled = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
+    assert close and close <= {tuple(r) for r in simhash._apart(docs, labelled, 5, 0.8, tile).collect()}
