@@ -7,11 +7,13 @@ events, links, ingest_seq); an attribute is (key, value) with value (kind, s, i,
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import java_regex
 from ..functions.units import floor_div
 from ..plans import trace_query as Q
+from ..plans.rounds import stored
 
 VALUE = "struct<kind:string,s:string,i:bigint,d:double,b:boolean,rendered:string>"
 ATTRIBUTES = f"array<struct<key:string,value:{VALUE}>>"
@@ -119,34 +121,43 @@ class Traces:
         return found.orderBy(*order)
 
     def structural(self, q: Q.Query) -> DataFrame:
-        """Right-hand spans that stand in the relation to a left-hand span of their trace, each span id once."""
-        left = self.spans.filter(matches(q.left)).select("trace_id", F.col("span_id").alias("a"), F.col("parent_span_id").alias("ap"))
-        right = self.spans.filter(matches(q.right)).dropDuplicates(["trace_id", "span_id"])
+        """Right-hand spans that stand in the relation to a left-hand span of their trace, each span id once.
+
+        Of spans that repeat an id the first arrival is returned and the last one's parent counts.
+        """
+        hit = F.coalesce(matches(q.left), F.lit(False))
+        first = F.row_number().over(W.partitionBy("trace_id", "span_id").orderBy("ingest_seq"))
+        right = self.spans.filter(matches(q.right)).withColumn("__n", first).filter("__n = 1").drop("__n")
+        nodes = self.spans.select("trace_id", "span_id", "parent_span_id", "ingest_seq", hit.alias("left")).groupBy("trace_id", "span_id").agg(F.max_by("parent_span_id", "ingest_seq").alias("parent"), F.max("left").alias("left"))
         if q.op == ">":
-            cond = (right["trace_id"] == left["trace_id"]) & (right["parent_span_id"] == left["a"])
-            return right.join(left, cond, "left_semi")
-        if q.op == "~":
-            sides = left.select("trace_id", "a", "ap").distinct()
-            cond = (right["trace_id"] == sides["trace_id"]) & right["parent_span_id"].eqNullSafe(sides["ap"]) & (right["span_id"] != sides["a"])
-            return right.join(sides, cond, "left_semi")
-        # descendants: a span is one if its parent is on the left or is itself one; a frontier walks down level by level
-        parents = self.spans.groupBy("trace_id", "span_id").agg(F.max_by("parent_span_id", "ingest_seq").alias("parent"))
-        tree = parents.filter("parent is not null").join(parents.select("trace_id", F.col("span_id").alias("parent")), ["trace_id", "parent"], "left_semi")
-        tree = tree.persist()
-        frontier = left.select("trace_id", F.col("a").alias("parent")).distinct()
-        found = None
-        while True:
-            level = tree.join(frontier, ["trace_id", "parent"]).select("trace_id", "span_id").distinct()
-            if found is not None:
-                level = level.join(found, ["trace_id", "span_id"], "left_anti")
-            level = level.persist()
-            if not level.head(1):
+            child = F.col("b.parent") == F.col("a.span_id")
+        elif q.op == "~":
+            child = F.col("b.parent").eqNullSafe(F.col("a.parent")) & (F.col("b.span_id") != F.col("a.span_id"))
+        else:
+            return right.join(self.descendants(nodes), ["trace_id", "span_id"], "left_semi")
+        related = nodes.alias("b").join(nodes.filter("left").alias("a"), (F.col("a.trace_id") == F.col("b.trace_id")) & child, "left_semi")
+        return right.join(related.select("trace_id", "span_id"), ["trace_id", "span_id"], "left_semi")
+
+    def descendants(self, nodes: DataFrame) -> DataFrame:
+        """(trace_id, span_id) of ``nodes`` (trace_id, span_id, parent, left) that have another left node above them.
+
+        Pointer doubling: each node knows an ancestor and the least and greatest left id on the way to it; a round joins it with
+        what that ancestor knows, so the rounds are the logarithm of the depth.  Rounds are stored.  A cycle has no end; its
+        nodes have seen all of it once the way is longer than the largest trace.
+        """
+        nodes = stored(nodes.join(nodes.filter("left").select("trace_id").distinct(), "trace_id", "left_semi"), "tree")
+        largest = nodes.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+        parents = nodes.select("trace_id", F.col("span_id").alias("parent"), F.when(F.col("left"), F.col("span_id")).alias("lo"))
+        ways = nodes.select("trace_id", "span_id", "parent").join(parents, ["trace_id", "parent"]).select("trace_id", "span_id", F.col("parent").alias("up"), "lo", F.col("lo").alias("hi"))
+        ways = stored(ways, "ways")
+        length = 1
+        while length < largest:
+            above = ways.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+            longer = ways.filter("up is not null").join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+            ways, length = stored(longer.unionByName(ways.filter("up is null")), "ways"), length * 2
+            if not ways.filter("up is not null").head(1):
                 break
-            found = level if found is None else found.unionByName(level)
-            frontier = level.select("trace_id", F.col("span_id").alias("parent"))
-        if found is None:
-            return right.filter(F.lit(False))
-        return right.join(found, ["trace_id", "span_id"], "left_semi")
+        return ways.filter("lo <> span_id or hi <> span_id").select("trace_id", "span_id")
 
     def summaries(self, spans: DataFrame | None = None) -> DataFrame:
         """One row a trace: root, extent, span and error counts."""

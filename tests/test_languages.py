@@ -1,6 +1,7 @@
 """Golden values and errors of the three query languages on small literal stores."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,47 @@ def test_golden_traces(traces, query, want):
     assert [r["name"] for r in traces.query(query).collect()] == want
 
 
+def structural_by_hand(rows, op, is_left, is_right):
+    """(trace, span) by pairs of spans and walks up the parents."""
+    found = set()
+    for t in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == t]
+        parent = {s: p for _, s, p, _ in own}  # the last of equal ids
+
+        def above(s):
+            seen = [s]
+            while (s := parent.get(s)) is not None and s not in seen:
+                seen.append(s)
+            return seen[1:]
+
+        for _, a, _, name in own:
+            for _, b, _, other in own:
+                related = {">": parent[b] == a, "~": a != b and parent[a] == parent[b], ">>": a != b and a in above(b)}[op]
+                if is_left(name) and is_right(other) and related:
+                    found.add((t, b))
+    return found
+
+
+@pytest.mark.parametrize("op", [">", ">>", "~"])
+def test_structures_with_cycles_repeats_and_gaps(spark, op):
+    rng = random.Random(3)
+    rows = []
+    for t in range(40):
+        n = rng.randrange(1, 12)
+        ids = [f"{i:016x}" for i in range(1, n + 1)]
+        for s in ids + ([rng.choice(ids)] if t % 3 == 0 else []):
+            p = rng.choice([None, *ids, "f" * 16])
+            rows.append((f"{t:032x}", s, p if p != s or op == ">>" else None, rng.choice("ab")))
+    chain = [("c" * 32, f"{i:016x}", f"{i - 1:016x}" if i > 1 else None, "a" if i == 1 else "b") for i in range(1, 200)]
+    ring = [("d" * 32, f"{i:016x}", f"{i % 5 + 1:016x}", "a" if i == 2 else "b") for i in range(1, 6)]
+    rows += chain + ring
+    columns = "trace_id string, span_id string, parent_span_id string, name string, ingest_seq long, duration_ns long"
+    df = spark.createDataFrame([(*r, i, 0) for i, r in enumerate(rows)], columns)
+    for right, test in (("{ }", lambda _: True), ('{ name = "b" }', lambda x: x == "b")):
+        got = {(r["trace_id"], r["span_id"]) for r in Traces(df).query(f'{{ name = "a" }} {op} {right}').collect()}
+        assert got == structural_by_hand(rows, op, lambda x: x == "a", test)
+
+
 def test_trace_summaries_and_errors(traces):
     row = traces.search('{ name = "leaf" }').first()
     assert (row["root_name"], row["span_count"], row["error_count"], row["duration_ms"]) == ("GET /api", 3, 1, 500)
