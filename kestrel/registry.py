@@ -13,10 +13,10 @@ from .operators.logs import Logs
 from .operators.metrics import Metrics
 from .operators.reports import Reports
 from .operators.traces import Traces
-from .sources import tables
+from .sources import ingest, requests, tables, wire
 
 DAY = 86_400_000
-START, END, STEP = 1_704_153_600_000, 1_706_486_400_000, 21_600_000
+START, END, STEP = 1_704_067_200_000, 1_706_659_200_000, 21_600_000
 AT = 1_705_320_000_000
 NS = 1_000_000
 NOW_NS = 1_706_486_400_000 * NS
@@ -360,3 +360,83 @@ def retention_cap_spans(spark, sf_dir):
 @register("retention_reset_service", f"WITH {LINES} SELECT ts_ns, ingest_seq FROM s WHERE svc <> 'svc-1'")
 def retention_reset_service(spark, sf_dir):
     return retention.without_service(tables.logs(spark, sf_dir), "svc-1").select("ts_ns", "ingest_seq")
+
+
+# ---- readers ----------------------------------------------------------------------------------------------------------
+
+PUSHED = f"WITH {LINES} SELECT {STREAM} AS stream, ts_ns, line FROM s"
+EXPORTED = f"WITH {LINES} SELECT {STREAM} AS stream, ts_ns, line, lpad(lower(to_hex(ingest_seq + 1)), 32, '0') AS trace_id, CASE level WHEN 'error' THEN 17 WHEN 'warn' THEN 13 ELSE 9 END AS severity_number FROM s"
+
+
+@register("ingest_push", PUSHED)
+def ingest_push(spark, sf_dir):
+    return ingest.push(requests.push(spark, sf_dir)).select(L.text(F.col("key")).alias("stream"), "ts_ns", "line")
+
+
+@register("ingest_export_logs", EXPORTED)
+def ingest_export_logs(spark, sf_dir):
+    return ingest.export_logs(requests.export_logs(spark, sf_dir)).select(L.text(F.col("key")).alias("stream"), "ts_ns", "line", "trace_id", "severity_number")
+
+
+@register("ingest_export_logs_binary", EXPORTED)
+def ingest_export_logs_binary(spark, sf_dir):
+    binary = wire.encoded(requests.export_logs(spark, sf_dir), "export_logs", "gzip")
+    return ingest.export_logs(wire.decoded(binary, "export_logs")).select(L.text(F.col("key")).alias("stream"), "ts_ns", "line", "trace_id", "severity_number")
+
+
+POINTS = f"""WITH e AS (SELECT 'svc-' || (user_id % 5) AS svc, event_type AS et, epoch_us(ts) AS us, value, floor(value) AS v FROM events),
+d AS (SELECT svc, us // 86400000000 * 86400000 AS ts_ms, unnest([{', '.join(map(str, tables.BOUNDS))}, 'inf'::DOUBLE]) AS le, list(v) AS vs FROM e GROUP BY svc, us // 86400000000),
+h AS (SELECT svc, us // 86400000000 * 86400000 AS ts_ms, sum(v) AS total, count(*)::DOUBLE AS n, max(v) AS most FROM e GROUP BY ALL)
+SELECT '__name__=event_value,event_type=' || et || ',service=' || svc AS series, us // 1000 AS ts_ms, value FROM e
+UNION ALL SELECT '__name__=event_size_bucket,le=' || {BOUND} || ',service=' || svc, ts_ms, len(list_filter(vs, lambda x: x <= le))::DOUBLE FROM d
+UNION ALL SELECT '__name__=' || unnest(['event_size_sum', 'event_most_sum']) || ',service=' || svc, ts_ms, total FROM h
+UNION ALL SELECT '__name__=' || unnest(['event_size_count', 'event_most_count']) || ',service=' || svc, ts_ms, n FROM h
+UNION ALL SELECT '__name__=event_most,quantile=1,service=' || svc, ts_ms, most FROM h"""
+
+
+@register("ingest_export_metrics", POINTS)
+def ingest_export_metrics(spark, sf_dir):
+    return ingest.export_metrics(requests.export_metrics(spark, sf_dir))[0].select(L.text(F.col("key")).alias("series"), "ts_ms", "value")
+
+
+@register("ingest_export_metrics_binary", POINTS)
+def ingest_export_metrics_binary(spark, sf_dir):
+    binary = wire.encoded(requests.export_metrics(spark, sf_dir), "export_metrics", "gzip")
+    return ingest.export_metrics(wire.decoded(binary, "export_metrics"))[0].select(L.text(F.col("key")).alias("series"), "ts_ms", "value")
+
+
+@register("ingest_metadata", "SELECT unnest(['event_value', 'event_size', 'event_most']) AS metric, unnest(['gauge', 'histogram', 'summary']) AS type, unnest(['event.value', 'event.size', 'event.most']) AS source_name")
+def ingest_metadata(spark, sf_dir):
+    metadata = ingest.export_metrics(requests.export_metrics(spark, sf_dir))[1]
+    return ingest.upsert_metadata(metadata, metadata.withColumn("type", F.lit("unknown"))).select("metric", "type", "source_name")
+
+
+@register("ingest_name_collisions", "SELECT unnest(['event_value', 'event_size', 'event_most']) AS metric, 2::BIGINT AS n")
+def ingest_name_collisions(spark, sf_dir):
+    metadata = ingest.export_metrics(requests.export_metrics(spark, sf_dir))[1]
+    return ingest.name_collisions(metadata, metadata.withColumn("source_name", F.col("metric")))
+
+
+SPANNED = f"WITH {TREE} SELECT trace_id, span_id, parent AS parent_span_id, name, service, start_ns, dur AS duration_ns, status, kind, coalesce(qty::VARCHAR, prio) AS attribute FROM sp WHERE trace_id <> repeat('0', 32)"  # zero is no id
+
+
+def exported_spans(rows: DataFrame) -> DataFrame:
+    own = F.get(F.filter("attributes", lambda a: a["key"].isin("span.quantity", "span.priority")), F.lit(0))["value"]["rendered"]
+    return rows.select("trace_id", "span_id", "parent_span_id", "name", "service", "start_ns", "duration_ns", "status", "kind", own.alias("attribute"))
+
+
+@register("ingest_export_traces", SPANNED)
+def ingest_export_traces(spark, sf_dir):
+    return exported_spans(ingest.export_traces(requests.export_traces(spark, sf_dir)))
+
+
+@register("ingest_export_traces_binary", SPANNED)
+def ingest_export_traces_binary(spark, sf_dir):
+    binary = wire.encoded(requests.export_traces(spark, sf_dir), "export_traces")
+    return exported_spans(ingest.export_traces(wire.decoded(binary, "export_traces")))
+
+
+@register("ingest_remote_write", f"WITH {GAUGE} SELECT {G_SERIES} AS series, ts AS ts_ms, v AS value FROM s")
+def ingest_remote_write(spark, sf_dir):
+    binary = wire.encoded(requests.write_requests(spark, sf_dir), "write_request", "snappy")
+    return ingest.remote_write(binary).select(L.text(F.col("key")).alias("series"), "ts_ms", "value")

@@ -1,12 +1,12 @@
 """Readers of push and export formats: JSON documents to logs, samples and spans, all within Spark; and the binary write format.
 
-Each takes a DataFrame with one request a row in the column ``body`` (string), and an arrival number for ordering; the landing
-files may be gzipped, which Spark's text reader undoes.
+Each takes a DataFrame with one request a row in the column ``body`` (string); landing files may be gzipped, which Spark's text
+reader undoes.  Binary requests go through :func:`kestrel.sources.wire.decoded` first.
 """
 
 from __future__ import annotations
 
-import struct
+import contextlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators.traces import ATTRIBUTES, VALUE
 from . import snappy
+from .wire import message
 
 SCALAR = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string,arrayValue:string,kvlistValue:string>"
 PAIRS = f"array<struct<key:string,value:{SCALAR}>>"
@@ -195,49 +196,15 @@ def export_traces(requests: DataFrame) -> DataFrame:
 # ---- remote write -----------------------------------------------------------------------------------------------------
 
 
-def fields(data: bytes):
-    """(field number, value) of a protocol-buffer message: int for numbers, bytes for the rest."""
-    at = 0
-    while at < len(data):
-        tag, at = snappy.varint(data, at)
-        kind = tag & 7
-        if kind == 0:
-            value, at = snappy.varint(data, at)
-        elif kind == 1:
-            value, at = data[at : at + 8], at + 8
-        elif kind == 5:
-            value, at = data[at : at + 4], at + 4
-        elif kind == 2:
-            n, at = snappy.varint(data, at)
-            value, at = data[at : at + n], at + n
-            if len(value) < n:
-                raise ValueError("truncated message")
-        else:
-            raise ValueError(f"wire type {kind}")
-        yield tag >> 3, value
-
-
 def write_request(body: bytes) -> list[tuple[dict[str, str], int, float]]:
     """(labels, time in ms, value) of a write request, Snappy-compressed or plain; series without a name are skipped."""
-    try:
+    with contextlib.suppress(ValueError, IndexError):
         body = snappy.decompress(body)
-    except (ValueError, IndexError):
-        pass
     out = []
-    for n, series in fields(body):
-        if n != 1:
-            continue
-        labels, points = {}, []
-        for m, part in fields(series):
-            if m == 1:
-                pair = {k: v.decode("utf-8", "replace") for k, v in fields(part)}
-                labels[pair.get(1, "")] = pair.get(2, "")
-            elif m == 2:
-                point = dict(fields(part))
-                ms = point.get(2, 0)
-                points.append((ms - (1 << 64) if ms >> 63 else ms, struct.unpack("<d", point[1])[0] if 1 in point else 0.0))
+    for series in message("write_request", body).get("timeseries", []):
+        labels = {x.get("name", ""): x.get("value", "") for x in series.get("labels", [])}
         if L.NAME in labels:
-            out += [(labels, ms, v) for ms, v in points]
+            out += [(labels, int(x.get("timestamp", 0)), x.get("value", 0.0)) for x in series.get("samples", [])]
     return out
 
 

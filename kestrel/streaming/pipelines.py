@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import ingest, store
+from ..sources import ingest, store, wire
 
 READERS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "push": ("logs", ingest.push),
     "export_logs": ("logs", ingest.export_logs),
     "export_metrics": ("samples", lambda r: ingest.export_metrics(r)[0]),
     "export_traces": ("spans", ingest.export_traces),
+    "remote_write": ("samples", ingest.remote_write),
 }
 #: Arrival numbers of a batch begin at its number times this.
 BATCH = 1 << 40
 
 
-def follow(spark: SparkSession, landing: str, kind: str, root: str, checkpoint: str, **trigger):
-    """Start a stream of JSON-lines files (one request a line) into a store.  Late rows are accepted; retention drops the old."""
+def follow(spark: SparkSession, landing: str, kind: str, root: str, checkpoint: str, binary: bool = False, **trigger):
+    """Start a stream of landing files into a store.  Late rows are accepted; retention drops the old.
+
+    Files hold JSON, one request a line, or with ``binary`` one request each in any wire form.
+    """
     signal, reader = READERS[kind]
 
     def write(batch: DataFrame, number: int) -> None:
@@ -32,8 +36,14 @@ def follow(spark: SparkSession, landing: str, kind: str, root: str, checkpoint:
         out = rows.withColumn("day", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         out.partitionBy("batch", "day").parquet(f"{root}/{signal}")
 
-    lines = spark.readStream.schema("value string").text(landing).select(F.col("value").alias("body"))
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    if binary:
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(landing)
+        requests = files.select(F.col("content").alias("body"))
+        if kind != "remote_write":
+            requests = wire.decoded(requests, kind)
+    else:
+        requests = spark.readStream.schema("value string").text(landing).select(F.col("value").alias("body"))
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def recent_activity(logs: DataFrame, late: str = "10 minutes", window: str = "1 minute") -> DataFrame:

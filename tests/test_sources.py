@@ -1,5 +1,6 @@
 """Readers, stores, retention, streaming and response documents."""
 
+import gzip
 import json
 import struct
 
@@ -9,7 +10,7 @@ from kestrel.functions import labels as L
 from kestrel.functions import responses
 from kestrel.operators.metrics import Metrics
 from kestrel.operators.traces import Traces
-from kestrel.sources import ingest, snappy, store
+from kestrel.sources import ingest, snappy, store, wire
 from kestrel.streaming import pipelines
 
 
@@ -102,3 +103,32 @@ def test_responses(spark):
     m = Metrics(df.withColumns({"key": L.of_map(F.col("labels")), "metric": F.lit("m")}))
     assert responses.vector(m.instant("m").df)["data"]["result"][0]["value"] == [2.0, "2000"]
     assert responses.matrix(m.range("m", 1000, 2000, 1000).df)["data"]["result"][0]["values"] == [[1.0, "1000"], [2.0, "2000"]]
+
+
+def test_wire_forms(spark):
+    """Binary, gzipped and Snappy bodies read like their JSON; bodies that can't be read give no rows."""
+    value = {"kvlistValue": {"values": [{"key": "a", "value": {"arrayValue": {"values": [{"intValue": "-3"}, {"boolValue": True}, {"bytesValue": "AAE="}]}}}]}}
+    record = {"timeUnixNano": "5", "severityNumber": 9, "body": {"stringValue": "h\u00e9"}, "traceId": "ab" * 16, "attributes": [{"key": "x", "value": value}, {"key": "d", "value": {"doubleValue": 0.5}}]}
+    doc = {"resourceLogs": [{"resource": {"attributes": attributes(service__name={"stringValue": "api"})}, "scopeLogs": [{"logRecords": [record, {"body": {"intValue": "7"}}]}]}]}
+    binary = wire.encode("export_logs", doc)
+    assert json.loads(wire.json_body("export_logs", binary)) == doc == json.loads(wire.json_body("export_logs", gzip.compress(binary)))
+    unknown_field = binary + bytes([15 << 3 | 2, 3]) + b"abc"
+    assert json.loads(wire.json_body("export_logs", unknown_field)) == doc
+    push = json.dumps(PUSH).encode()
+    assert wire.json_body("push", push) == wire.json_body("push", snappy.compress(push)) == push.decode()
+    bad = [None, b"", binary[:-1], b"\x1f\x8b broken", gzip.compress(binary)[:-9], b"\x0f", b"\xff" * 12]
+    assert [wire.json_body("export_logs", x) for x in bad] == [None] * len(bad)
+    rows = spark.createDataFrame([(x,) for x in [*bad, binary, gzip.compress(json.dumps(doc).encode())]], "body binary")
+    got = ingest.export_logs(wire.decoded(rows, "export_logs"), now_ns=9).collect()
+    assert sorted((r["line"], r["ts_ns"], r["service"]) for r in got) == [("7", 9, "api")] * 2 + [("h\u00e9", 5, "api")] * 2
+    packed = struct.pack("<3Q", 1, 2, 3)
+    point = bytes([6 << 3 | 2, 24]) + packed + bytes([7 << 3 | 1]) + struct.pack("<d", 2.5)
+    assert wire.message("HistogramPoint", point) == {"bucketCounts": ["1", "2", "3"], "explicitBounds": [2.5]}
+
+
+def test_binary_landing_files(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "a.bin").write_bytes(snappy.compress(json.dumps(PUSH).encode()))
+    pipelines.follow(spark, str(landing), "push", f"{tmp_path}/store", f"{tmp_path}/cp", binary=True).awaitTermination()
+    assert store.load(spark, f"{tmp_path}/store", "logs").count() == 2
