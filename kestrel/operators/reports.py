@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .logs import Logs
 from .traces import Traces
 
 HOUR_NS, MINUTE_NS = 3_600_000_000_000, 60_000_000_000
 NOTABLE = r"(?i)error|fail|duration|latency"
+MOST_SHOWN = 100
 
 
 class UnknownService(ValueError):
@@ -123,7 +125,10 @@ class Reports:
         rate = F.coalesce("error_percent", F.lit(0.0))
         ratio = F.coalesce(F.when(F.col("spans") > 0, F.col("error_spans") / F.col("spans")), F.lit(0.0))
         score = F.greatest(F.lit(0.0), 100 - F.least(rate, F.lit(40.0)) - F.least(ratio * 30, F.lit(30.0)))
-        return t.select("service", rate.alias("error_percent"), ratio.alias("span_error_ratio"), score.alias("health")).orderBy("health", "service")
+        percent = lambda x: F.concat(F.format_number(x, 1), F.lit("%"))
+        logs, spans = F.concat(F.lit("og error rate: "), percent(rate)), F.concat(F.lit("Span error ratio: "), percent(ratio * 100))
+        issue = F.when(rate > 10, F.concat(F.lit("High l"), logs)).when(ratio > 0.1, spans).when(rate > 0, F.concat(F.lit("L"), logs)).when(ratio > 0, spans).otherwise("No issues detected")
+        return t.select("service", rate.alias("error_percent"), ratio.alias("span_error_ratio"), score.alias("health"), issue.alias("top_issue")).orderBy("health", "service")
 
     def check_health(self, since: int = 0) -> DataFrame:
         """(service, errors, span_error_ratio, health): 100 less at most 30 for failing spans and 40 for error entries."""
@@ -162,10 +167,60 @@ class Reports:
         new = lambda df: df.filter(F.col("ingest_seq") >= checkpoint)
         return Reports(new(self.logs), new(self.samples), new(self.spans))
 
-    def suggestions(self, service: str) -> list[str]:
-        name = service.replace('"', '\\"')
-        return [f'{{service="{name}", level="error"}}', f'{{ resource.service.name = "{name}" && status = error }}', f'{{ resource.service.name = "{name}" && duration > 1s }}', f'{{service="{name}"}}']
-
-
-def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole * 100).otherwise(0.0)
+    def suggestions(self, service: str, errors: bool = True, failing: bool = True, slow: bool = True) -> list[str]:
+        """Queries that show what a diagnosis found, or all of the service's logs if it found nothing."""
+        name = quoted(service)
+        found = [(errors, f'{{service="{name}", level="error"}}'), (failing, f'{{ resource.service.name = "{name}" && status = error }}'), (slow, f'{{ resource.service.name = "{name}" && duration > 1s }}')]
+        return [q for wanted, q in found if wanted] or [f'{{service="{name}"}}']
+
+    # -- activity since a checkpoint, and searches by their parts
+
+    def activity(self, service: str, since: int = 0) -> DataFrame:
+        """One row: a service's entries, errors and traces that arrived at or after ``since``, and its health by them."""
+        new = F.col("ingest_seq") >= since
+        l = self.logs.filter((F.col("service") == service) & new).agg(F.count_if(F.col("level") == "error").alias("errors"), F.count("*").alias("entries"))
+        per = self.touched(service).filter(new).groupBy("trace_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("bad"))
+        t = per.agg(F.count_if(F.col("bad") > 0).alias("failing_traces"), F.count("*").alias("traces"), F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0)).alias("ratio"))
+        health = F.greatest(F.lit(0.0), 100 - F.least(F.col("ratio") * 30, F.lit(30.0)) - F.least("errors", F.lit(40)))
+        says = F.concat(F.col("errors").cast("string"), F.lit(" error log(s), "), F.col("failing_traces").cast("string"), F.lit(" failing trace(s), health "), F.format_number(health, 0))
+        return l.join(t).select(F.lit(service).alias("service"), "errors", "entries", "failing_traces", "traces", F.col("ratio").alias("span_error_ratio"), health.alias("health"), says.alias("summary"))  # one row each
+
+    def describe_metrics(self, service: str, known: DataFrame) -> DataFrame:
+        """(metric, type, help, unit) of a service's metrics; null where ``known`` has none."""
+        names = self.samples.filter(F.col("labels")["service"] == service).select("metric").distinct()
+        return names.join(known.select("metric", "type", "help", "unit"), "metric", "left")
+
+    def query_logs(self, service: str | None = None, level: str | None = None, contains: str | None = None, limit: int = 50, query: str | None = None) -> tuple[DataFrame, int, bool]:
+        """(entries, how many there are in all, truncated) of a search by its parts, or by a whole query, which wins.
+
+        All matches are counted only if there are more than ``limit``, of 100 at most.
+        """
+        if query is None:
+            parts = [f'{k}="{quoted(v)}"' for k, v in (("service", service), ("level", level)) if v is not None]
+            if not parts:
+                raise ValueError("give a service or a level, or a query")
+            query = "{" + ", ".join(parts) + "}" + (f' |= "{quoted(contains)}"' if contains is not None else "")
+        limit, logs = min(limit, MOST_SHOWN), Logs(self.logs, tuple(c for c in ("service", "level") if c in self.logs.columns))
+        found = logs.streams(query, -(2**63), 2**63 - 1, limit + 1)
+        n = found.count()
+        if n <= limit:
+            return found, n, False
+        return logs.streams(query, -(2**63), 2**63 - 1, limit), logs.streams(query, -(2**63), 2**63 - 1, None).count(), True
+
+    def query_traces(self, service: str | None = None, name: str | None = None, status: str | None = None, min_duration: str | None = None, limit: int = 50, query: str | None = None) -> tuple[DataFrame, int, bool]:
+        """(summaries by trace id, how many there are in all, truncated) of a search by its parts, or by a whole query."""
+        if query is None:
+            if status not in (None, "error", "ok", "unset"):
+                raise ValueError(f"no status {status!r}")
+            texts = [(service, 'resource.service.name = "{}"'), (status, "status = {}"), (min_duration, "duration > {}"), (name, 'name = "{}"')]
+            parts = [form.format(quoted(v)) for v, form in texts if v is not None]
+            if not parts:
+                raise ValueError("give a service, a name, a status or a duration, or a query")
+            query = "{ " + " && ".join(parts) + " }"
+        limit = min(limit, MOST_SHOWN)
+        total = self.traces.query(query).select("trace_id").distinct().count()
+        return self.traces.search(query, limit=limit), total, total > limit
+
+
+def quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace('"', '\\"')

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.rounds import sum_before
+
 
 def by_age(rows: DataFrame, column: str, cutoff: int) -> DataFrame:
     """Rows at or after the cutoff; on a table partitioned by time this drops partitions."""
@@ -19,8 +21,8 @@ def cap_logs(logs: DataFrame, most: int) -> DataFrame:
     excess = total - most
     if excess <= 0:
         return logs
-    before = F.sum("n").over(W.orderBy("first", "key").rowsBetween(W.unboundedPreceding, -1))  # a row a stream
-    cut = per.withColumn("gone", F.least("n", F.greatest(F.lit(0), F.lit(excess) - F.coalesce(before, F.lit(0))))).select(F.col("key").alias("k"), "gone")
+    gone = F.least("n", F.greatest(F.lit(0), F.lit(excess) - F.col("before"))).alias("gone")
+    cut = sum_before(per, ["first", "key"], "n", "before").select(F.col("key").alias("k"), gone)
     rank = F.row_number().over(W.partitionBy("key").orderBy("ts_ns", "ingest_seq"))
     return logs.withColumn("__n", rank).join(cut, F.col("key") == F.col("k")).filter("__n > gone").select(*logs.columns)
 
@@ -41,8 +43,8 @@ def cap_spans(spans: DataFrame, most: int) -> DataFrame:
     excess = (per.agg(F.sum("n")).first()[0] or 0) - most
     if excess <= 0:
         return spans
-    before = F.coalesce(F.sum("n").over(W.orderBy("first", "trace_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return spans.join(per.withColumn("before", before).filter(F.col("before") >= excess), "trace_id", "left_semi")
+    kept = sum_before(per, ["first", "trace_id"], "n", "before").filter(F.col("before") >= excess)
+    return spans.join(kept, "trace_id", "left_semi")
 
 
 def prune_metadata(metadata: DataFrame, samples: DataFrame) -> DataFrame:

@@ -190,6 +190,21 @@ class Traces:
             raise ValueError("a trace id has 32 hexadecimal digits")
         return self.spans.filter(F.col("trace_id") == trace_id.lower()).orderBy("ingest_seq")
 
+    def levels(self) -> DataFrame:
+        """(trace_id, span_id, root, depth) of every span id that has a way up to a root: a span without a parent in its trace.
+
+        Pointer doubling as for :meth:`descendants`; a way that ends in a cycle has no root, and depths end at 127.
+        """
+        nodes = self.spans.groupBy("trace_id", "span_id").agg(F.max_by("parent_span_id", "ingest_seq").alias("up"))
+        there = nodes.select("trace_id", F.col("span_id").alias("up"), F.lit(True).alias("there"))
+        ways = nodes.join(there, ["trace_id", "up"], "left").select("trace_id", "span_id", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), F.col("up")).otherwise(F.col("span_id")).alias("top"), F.when(F.col("there"), 1).otherwise(0).alias("depth"))
+        ways, length = stored(ways, "ways"), 1
+        while length < MAX_DEPTH and ways.filter("up is not null").head(1):
+            above = ways.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
+            longer = ways.filter("up is not null").join(above, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2").alias("up"), F.col("top2").alias("top"), (F.col("depth") + F.col("depth2")).alias("depth"))
+            ways, length = stored(longer.unionByName(ways.filter("up is null")), "ways"), length * 2
+        return ways.filter(F.col("up").isNull() & (F.col("depth") < MAX_DEPTH)).select("trace_id", "span_id", F.col("top").alias("root"), "depth")
+
     def tree(self, trace_id: str) -> list[dict]:
         """The span tree of one trace: spans without a parent in it are roots; deeper than 128 levels is cut off."""
         rows = [r.asDict() for r in self.trace(trace_id).select("span_id", "parent_span_id", "name", "service", "start_ns", "duration_ns", "status").collect()]

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -24,3 +26,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{root.rstrip('/')}/kestrel/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sum_before(df: DataFrame, order: list[str], n: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``n`` over all rows that come earlier in ``order`` (a total order).
+
+    Rows are dealt by ranges and summed within each; only one row a range meets in the window over the ranges.
+    """
+    t = stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    parts = t.groupBy("__part").agg(F.sum(n).alias("__sum"))
+    starts = parts.select("__part", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    within = F.sum(n).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return t.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.coalesce(within, F.lit(0))).drop("__part", "__start")  # a row a partition

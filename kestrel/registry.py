@@ -124,6 +124,11 @@ PART = "a.svc IN (SELECT svc FROM a WHERE v > 20)"
 metric("metric_and", f"({X}) and on (service) (({X}) > 20)", f"{BASE} SELECT {NAMELESS} AS series, t, round(v, 6) + 0.0 AS value FROM a WHERE {PART}")
 metric("metric_unless", f"({X}) unless on (service, event_type) (({X}) > 40)", f"{BASE} SELECT {NAMELESS} AS series, t, round(v, 6) + 0.0 AS value FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.svc = a.svc AND b.et = a.et AND b.v > 40)")
 metric("metric_or", f'(({X}) > 40) or ({X})', f"{BASE}, h AS (SELECT * FROM a WHERE v > 40) SELECT {NAMELESS} AS series, t, round(v, 6) + 0.0 AS value FROM (SELECT * FROM h UNION ALL SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.svc = a.svc AND h.et = a.et)) a")
+metric("metric_at_modifier", f"avg_over_time(event_value[1d]) - on (service, event_type) event_value @ {AT / 1000:.0f}", f"WITH {GAUGE}, {windows()}, a AS (SELECT svc, et, t, avg(v) AS v FROM w GROUP BY svc, et, t), p AS (SELECT svc, et, arg_max(v, (ts, seq)) AS v FROM s WHERE ts BETWEEN {AT - 300_000} AND {AT} GROUP BY svc, et) SELECT {NAMELESS} AS series, t, round(a.v - p.v, 6) + 0.0 AS value FROM a JOIN p USING (svc, et)")
+metric("metric_group_left_carry", f'({X}) * on (service) group_left (side) label_replace(sum by (service) ({X}), "side", "x-$1", "service", "svc-(.)")', f"{SUMS} SELECT 'event_type=' || et || ',service=' || svc || ',side=x-' || substr(svc, 5) AS series, t, round(a.v * b.v, 6) + 0.0 AS value FROM a JOIN b USING (svc, t)")
+metric("metric_compare_vectors", f"({X}) > bool ignoring (event_type) group_left () avg by (service) ({X})", f"{BASE}, b AS (SELECT svc, t, avg(v) AS v FROM a GROUP BY svc, t) SELECT {NAMELESS} AS series, t, CASE WHEN a.v > b.v THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM a JOIN b USING (svc, t)")
+metric("metric_sort_ascending", f"sort({X})", mapped("v"))
+metric("metric_instant_rate", "sum by (service) (rate(events_total[1d]))", f"WITH {COUNTER}, w AS (SELECT s.*, lag(v) OVER p AS pv FROM s WHERE ts BETWEEN {AT - DAY} AND {AT} WINDOW p AS (PARTITION BY svc, et ORDER BY ts, seq)), r AS (SELECT svc, et, sum(CASE WHEN pv IS NULL THEN 0 WHEN v >= pv THEN v - pv ELSE v END) / {SPAN} AS v FROM w GROUP BY svc, et {HAVING}) SELECT {BY_SVC} AS series, {AT}::BIGINT AS t, round(sum(v), 6) + 0.0 AS value FROM r GROUP BY svc", tables.counter, AT)
 metric("metric_absent", 'absent(event_value{service="none"})', f"SELECT '' AS series, {END}::BIGINT AS t, 1.0::DOUBLE AS value")
 metric("metric_time", "time()", f"SELECT '' AS series, {END}::BIGINT AS t, {END} / 1000.0 AS value")
 metric("metric_vector", "vector(2 ^ 10)", f"SELECT '' AS series, {END}::BIGINT AS t, 1024.0::DOUBLE AS value")
@@ -310,10 +315,10 @@ def report_health(spark, sf_dir):
     return t.select("service", "errors", (F.round("span_error_ratio", 6) + 0.0).alias("span_error_ratio"), (F.round("health", 6) + 0.0).alias("health"))
 
 
-@register("report_diagnose_all", f"WITH {TREE}, {LINES}, {NAMES}, {PER}, er AS (SELECT svc AS service, count(*) FILTER (WHERE level = 'error') * 100.0 / count(*) AS pc FROM s WHERE ts_ns BETWEEN {NOW_NS - 3_600_000_000_000} AND {NOW_NS} GROUP BY svc) SELECT service, round(coalesce(pc, 0), 6) + 0.0 AS error_percent, round(coalesce(bad / spans, 0), 6) + 0.0 AS span_error_ratio, round(greatest(0, 100 - least(coalesce(pc, 0), 40) - least(coalesce(bad / spans, 0) * 30, 30)), 6) + 0.0 AS health FROM n LEFT JOIN er USING (service) LEFT JOIN ps USING (service)")
+@register("report_diagnose_all", f"WITH {TREE}, {LINES}, {NAMES}, {PER}, er AS (SELECT svc AS service, count(*) FILTER (WHERE level = 'error') * 100.0 / count(*) AS pc FROM s WHERE ts_ns BETWEEN {NOW_NS - 3_600_000_000_000} AND {NOW_NS} GROUP BY svc) SELECT service, round(coalesce(pc, 0), 6) + 0.0 AS error_percent, round(coalesce(bad / spans, 0), 6) + 0.0 AS span_error_ratio, round(greatest(0, 100 - least(coalesce(pc, 0), 40) - least(coalesce(bad / spans, 0) * 30, 30)), 6) + 0.0 AS health, CASE WHEN pc > 10 THEN 'High log error rate: ' || printf('%.1f', pc) WHEN bad / spans > 0.1 THEN 'Span error ratio: ' || printf('%.1f', bad / spans * 100) WHEN pc > 0 THEN 'Log error rate: ' || printf('%.1f', pc) WHEN bad > 0 THEN 'Span error ratio: ' || printf('%.1f', bad / spans * 100) ELSE 'No issues detected' END || CASE WHEN pc > 0 OR bad > 0 THEN '%' ELSE '' END AS top_issue FROM n LEFT JOIN er USING (service) LEFT JOIN ps USING (service)")
 def report_diagnose_all(spark, sf_dir):
     t = reports(spark, sf_dir).diagnose_all(NOW_NS)
-    return t.select("service", *[(F.round(c, 6) + 0.0).alias(c) for c in ("error_percent", "span_error_ratio", "health")])
+    return t.select("service", *[(F.round(c, 6) + 0.0).alias(c) for c in ("error_percent", "span_error_ratio", "health")], "top_issue")
 
 
 @register("report_slowest", f"WITH {TREE}, tt AS (SELECT DISTINCT trace_id FROM sp WHERE service = 'supplier-1'), u AS ({SUMMARY.replace('FROM sp', 'FROM sp JOIN tt USING (trace_id)')}) SELECT trace_id, duration_ns, span_count FROM u ORDER BY duration_ns DESC, trace_id LIMIT 5")
@@ -362,6 +367,95 @@ def retention_reset_service(spark, sf_dir):
     return retention.without_service(tables.logs(spark, sf_dir), "svc-1").select("ts_ns", "ingest_seq")
 
 
+SUMS_OF = "SELECT count(*) FILTER (WHERE level = 'error') AS errors, count(*) AS entries FROM s WHERE svc = 'svc-1' AND ingest_seq >= {0}"
+
+
+@register("report_activity", f"WITH {TREE}, {LINES}, l AS ({SUMS_OF.format(100)}) SELECT 'svc-1' AS service, errors, entries, 0::BIGINT AS failing_traces, 0::BIGINT AS traces, 0.0::DOUBLE AS span_error_ratio, 100.0 - least(errors, 40) AS health, errors || ' error log(s), 0 failing trace(s), health ' || (100 - least(errors, 40)) AS summary FROM l")
+def report_activity(spark, sf_dir):
+    return reports(spark, sf_dir).activity("svc-1", 100)
+
+
+@register("report_activity_of_spans", f"WITH {TREE}, p AS (SELECT trace_id, count(*) AS n, count(*) FILTER (WHERE status = 'error') AS bad FROM sp WHERE seq >= 4000 AND trace_id IN (SELECT trace_id FROM sp WHERE service = 'supplier-1') GROUP BY trace_id) SELECT count(*) FILTER (WHERE bad > 0) AS failing_traces, count(*) AS traces, round(sum(bad) / sum(n), 6) AS span_error_ratio, round(100 - least(sum(bad) / sum(n) * 30, 30), 6) AS health FROM p")
+def report_activity_of_spans(spark, sf_dir):
+    t = reports(spark, sf_dir).activity("supplier-1", 4000)
+    return t.select("failing_traces", "traces", F.round("span_error_ratio", 6).alias("span_error_ratio"), F.round("health", 6).alias("health"))
+
+
+@register("report_describe", f"WITH {LINES}, p AS (SELECT DISTINCT unnest(['event_type', 'level', 'service']) AS label, unnest([et, level, svc]) AS value FROM s WHERE svc = 'svc-1') SELECT label, string_agg(value, ',' ORDER BY value) AS shown, count(*) > 50 AS truncated FROM p GROUP BY label")
+def report_describe(spark, sf_dir):
+    return reports(spark, sf_dir).describe("svc-1").select("label", F.array_join("values", ",").alias("shown"), "truncated")
+
+
+KINDS = "SELECT unnest(['event_size_bucket', 'event_size_count', 'event_size_sum', 'event_most', 'event_most_count', 'event_most_sum', 'event_value', 'event_size']) AS metric"
+
+
+@register("report_metadata", f"WITH m AS ({KINDS}) SELECT metric, CASE metric WHEN 'event_size' THEN 'histogram' WHEN 'event_most' THEN 'summary' WHEN 'event_value' THEN 'gauge' ELSE 'unknown' END AS type, '' AS help, '' AS unit FROM m")
+def report_metadata(spark, sf_dir):
+    samples, metadata = ingest.export_metrics(requests.export_metrics(spark, sf_dir))
+    return Reports(tables.logs(spark, sf_dir), samples, tables.spans(spark, sf_dir)).metadata(metadata)
+
+
+@register("report_describe_metrics", f"WITH m AS ({KINDS}) SELECT metric, CASE metric WHEN 'event_most' THEN 'summary' WHEN 'event_value' THEN 'gauge' END AS type FROM m WHERE metric <> 'event_size'")
+def report_describe_metrics(spark, sf_dir):
+    samples, metadata = ingest.export_metrics(requests.export_metrics(spark, sf_dir))
+    return Reports(tables.logs(spark, sf_dir), samples, tables.spans(spark, sf_dir)).describe_metrics("svc-1", metadata).select("metric", "type")
+
+
+@register("retention_metadata", "SELECT unnest(['event_value', 'event_most']) AS metric")
+def retention_metadata(spark, sf_dir):
+    samples, metadata = ingest.export_metrics(requests.export_metrics(spark, sf_dir))
+    return retention.prune_metadata(metadata, samples).select("metric")
+
+
+@register("report_error_rate", f"WITH {LINES} SELECT svc AS service, count(*) AS total, count(*) FILTER (WHERE level = 'error') AS errors FROM s WHERE ts_ns BETWEEN {NOW_NS - 3_600_000_000_000} AND {NOW_NS} GROUP BY svc")
+def report_error_rate(spark, sf_dir):
+    return reports(spark, sf_dir).error_rate(NOW_NS).select("service", "total", "errors")
+
+
+@register("report_error_trend", f"WITH {LINES}, c AS (SELECT count(*) FILTER (WHERE ts_ns BETWEEN {NOW_NS - 300_000_000_000} AND {NOW_NS}) AS recent, count(*) FILTER (WHERE ts_ns BETWEEN {NOW_NS - 600_000_000_000} AND {NOW_NS - 300_000_000_000}) AS before FROM s WHERE svc = 'svc-1' AND level = 'error') SELECT *, CASE WHEN recent > before THEN 'increasing' WHEN recent < before THEN 'decreasing' ELSE 'stable' END AS direction FROM c")
+def report_error_trend(spark, sf_dir):
+    return reports(spark, sf_dir).error_trend("svc-1", NOW_NS)
+
+
+@register("report_diagnose", f"WITH {TREE}, tt AS (SELECT DISTINCT trace_id FROM sp WHERE service = 'supplier-1'), u AS ({SUMMARY.replace('FROM sp', 'FROM sp JOIN tt USING (trace_id)')}), a AS (SELECT sum(error_count) / sum(span_count) AS ratio, quantile_disc(duration_ns, 0.99) / 1e6 AS p99 FROM u) SELECT 'supplier-1' AS service, 0.0::DOUBLE AS error_percent, round(ratio, 6) AS span_error_ratio, round(p99, 3) AS p99_ms, 'stable' AS direction, round(greatest(0, 100 - least(ratio * 30, 30) - CASE WHEN p99 > 1000 THEN least((p99 - 1000) / 1000 * 10, 20) ELSE 0 END), 6) AS health FROM a")
+def report_diagnose(spark, sf_dir):
+    t = reports(spark, sf_dir).diagnose("supplier-1", NOW_NS)
+    return t.select("service", "error_percent", F.round("span_error_ratio", 6).alias("span_error_ratio"), F.round("p99_ms", 3).alias("p99_ms"), "direction", F.round("health", 6).alias("health"))
+
+
+@register("report_failing_traces", f"WITH {TREE}, tt AS (SELECT DISTINCT trace_id FROM sp WHERE service = 'supplier-1' AND status = 'error'), u AS ({SUMMARY.replace('FROM sp', 'FROM sp JOIN tt USING (trace_id)')}) SELECT trace_id, root_name, duration_ns, error_count FROM u ORDER BY duration_ns DESC, trace_id LIMIT 20")
+def report_failing_traces(spark, sf_dir):
+    return reports(spark, sf_dir).failing_traces("supplier-1").select("trace_id", "root_name", "duration_ns", "error_count")
+
+
+@register("report_notable_metrics", f"WITH {GAUGE} SELECT '__name__=event_duration,event_type=' || et || ',service=' || svc AS series, max(ts) AS ts_ms, arg_max(v, (ts, seq)) AS value FROM s WHERE svc = 'svc-1' GROUP BY svc, et")
+def report_notable_metrics(spark, sf_dir):
+    named = tables.samples(spark, sf_dir).withColumns({"metric": F.lit("event_duration"), "key": L.put(F.col("key"), L.NAME, F.lit("event_duration"))})
+    return Reports(tables.logs(spark, sf_dir), named, tables.spans(spark, sf_dir)).notable_metrics("svc-1")
+
+
+@register("report_query_logs", f"WITH {LINES}, m AS (SELECT *, count(*) OVER () AS total FROM s WHERE svc = 'svc-1' AND level = 'error' AND contains(line, '7')) SELECT ts_ns, ingest_seq, total, total > 10 AS truncated FROM m ORDER BY ts_ns DESC, ingest_seq DESC LIMIT 10")
+def report_query_logs(spark, sf_dir):
+    rows, total, truncated = reports(spark, sf_dir).query_logs("svc-1", "error", "7", limit=10)
+    return rows.select("ts_ns", "ingest_seq", F.lit(total).cast("long").alias("total"), F.lit(truncated).alias("truncated"))
+
+
+@register("report_query_traces", f"WITH {TREE}, m AS (SELECT DISTINCT trace_id FROM sp WHERE service = 'supplier-1' AND status = 'error' AND dur > 30000000 AND name = 'ship'), u AS ({SUMMARY.replace('FROM sp', 'FROM sp JOIN m USING (trace_id)')}) SELECT trace_id, root_name, duration_ns, error_count, (SELECT count(*) FROM m) AS total FROM u ORDER BY trace_id LIMIT 30")
+def report_query_traces(spark, sf_dir):
+    rows, total, _ = reports(spark, sf_dir).query_traces("supplier-1", "ship", "error", "30ms", limit=30)
+    return rows.select("trace_id", "root_name", "duration_ns", "error_count", F.lit(total).cast("long").alias("total"))
+
+
+@register("trace_levels", f"WITH RECURSIVE {TREE}, d AS (SELECT trace_id, span_id, span_id AS root, 0 AS depth FROM sp WHERE NOT EXISTS (SELECT 1 FROM sp p WHERE p.trace_id = sp.trace_id AND p.span_id = sp.parent) UNION SELECT sp.trace_id, sp.span_id, d.root, d.depth + 1 FROM sp JOIN d ON sp.trace_id = d.trace_id AND sp.parent = d.span_id) SELECT * FROM d")
+def trace_levels(spark, sf_dir):
+    return Traces(tables.spans(spark, sf_dir)).levels()
+
+
+@register("trace_by_id", f"WITH {TREE} SELECT trace_id, span_id, parent AS parent_span_id, name FROM sp WHERE trace_id = lpad('{{0}}', 32, '0')".replace("{0}", "2a"))
+def trace_by_id(spark, sf_dir):
+    return Traces(tables.spans(spark, sf_dir)).trace("2A".rjust(32, "0")).select("trace_id", "span_id", "parent_span_id", "name")
+
+
 # ---- readers ----------------------------------------------------------------------------------------------------------
 
 PUSHED = f"WITH {LINES} SELECT {STREAM} AS stream, ts_ns, line FROM s"

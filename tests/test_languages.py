@@ -145,6 +145,14 @@ def test_structures_with_cycles_repeats_and_gaps(spark, op):
         assert got == structural_by_hand(rows, op, lambda x: x == "a", test)
 
 
+def test_levels_of_chains_cycles_and_gaps(spark):
+    rows = [("a" * 32, f"{i:016x}", f"{i - 1:016x}" if i else None) for i in range(200)] + [("b" * 32, f"{i:016x}", f"{i % 3 + 1:016x}") for i in range(1, 4)] + [("c" * 32, "1" * 16, "9" * 16), ("c" * 32, "2" * 16, "1" * 16)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "trace_id string, span_id string, parent_span_id string, ingest_seq long")
+    got = {(r["trace_id"][0], r["span_id"]): (r["root"], r["depth"]) for r in Traces(df).levels().collect()}
+    want = {("a", f"{i:016x}"): (f"{0:016x}", i) for i in range(128)} | {("c", "1" * 16): ("1" * 16, 0), ("c", "2" * 16): ("1" * 16, 1)}
+    assert got == want
+
+
 def test_trace_summaries_and_errors(traces):
     row = traces.search('{ name = "leaf" }').first()
     assert (row["root_name"], row["span_count"], row["error_count"], row["duration_ms"]) == ("GET /api", 3, 1, 500)
