@@ -61,22 +61,23 @@ b AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
   regexp_extract(regexp_replace(coalesce(rest, ''), '^[^/?#]*', ''), '^[^?#]*') AS path FROM a),
 c AS (SELECT *, {rule} AS rule, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+([._-](?s:.*))?\z')
   OR (regexp_matches(s, '[0-9]') AND (regexp_matches(s, '^[0-9a-fA-F-]{{8,}}\z') OR length(s) >= 24)) THEN '*' ELSE s END) AS segs FROM b),
-e AS (SELECT *, CASE WHEN len(segs) > 4 THEN list_concat(segs[1:4], ['**']) ELSE segs END AS shape, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ({blocks}) THEN 1 ELSE 0 END AS rb FROM c),
+e AS (SELECT *, segs AS shape, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ({blocks}) THEN 1 ELSE 0 END AS rb FROM c),
 k AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 f AS (SELECT e.*, coalesce(rb, k.bad) AS bad FROM e LEFT JOIN k USING (page_id)),
 t0 AS (SELECT host, shape, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template FROM f GROUP BY host, shape)"""
-    for d in range(1, 6):
+    for d in range(1, 9):  # paths that are of unlike labels down to their eighth segment are told apart no further here
         out += f""",
 c{d} AS (SELECT host, template, shape[{d}] AS seg, sum(labelled) AS cl, sum(bad) AS cb FROM t{d - 1} WHERE shape[{d}] IS NOT NULL GROUP BY ALL),
 p{d} AS (SELECT host, template, sum(cl) AS pl, sum(cb)::DOUBLE / sum(cl) AS share FROM c{d} GROUP BY ALL),
-n{d} AS (SELECT host, template, seg, CASE WHEN seg IN ('*', '**') THEN '*' WHEN cl > 0 AND abs(cb::DOUBLE / cl - share) > 1.96 * sqrt(share * (1 - share) / cl) THEN seg ELSE '*' END AS name FROM c{d} JOIN p{d} USING (host, template)),
+n{d} AS (SELECT host, template, seg, CASE WHEN seg = '*' THEN '*' WHEN cl > 0 AND abs(cb::DOUBLE / cl - share) > 1.96 * sqrt(share * (1 - share) / cl) THEN seg ELSE '*' END AS name FROM c{d} JOIN p{d} USING (host, template)),
 t{d} AS (SELECT t.host, t.shape, t.labelled, t.bad, CASE WHEN n.name IS NULL THEN t.template ELSE t.template || '/' || n.name END AS template FROM t{d - 1} t LEFT JOIN n{d} n ON t.host = n.host AND t.template = n.template AND t.shape[{d}] = n.seg)"""
     out += """,
-g AS (SELECT sum(bad)::DOUBLE / nullif(sum(labelled), 0) AS base FROM t5),
-h AS (SELECT host, (sum(bad) + 4 * coalesce(any_value(base), 0)) / (sum(labelled) + 4) AS hp FROM t5, g GROUP BY host),
-j AS (SELECT host, template, (sum(bad) + 4 * any_value(hp)) / (sum(labelled) + 4) AS purity FROM t5 JOIN h USING (host) GROUP BY host, template)
-SELECT f.page_id, f.host, f.path, f.rule, CASE WHEN rb = 1 THEN 'block' WHEN rb = 0 THEN 'allow' WHEN j.purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict, t5.template, round(j.purity, 6) AS purity
-FROM f JOIN t5 ON f.host = t5.host AND f.shape = t5.shape JOIN j ON j.host = t5.host AND j.template = t5.template"""
+t9 AS (SELECT host, shape, labelled, bad, template || repeat('/*', greatest(len(shape) - 8, 0)) AS template FROM t8),
+g AS (SELECT sum(bad)::DOUBLE / nullif(sum(labelled), 0) AS base FROM t9),
+h AS (SELECT host, (sum(bad) + 4 * coalesce(any_value(base), 0)) / (sum(labelled) + 4) AS hp FROM t9, g GROUP BY host),
+j AS (SELECT host, template, (sum(bad) + 4 * any_value(hp)) / (sum(labelled) + 4) AS purity FROM t9 JOIN h USING (host) GROUP BY host, template)
+SELECT f.page_id, f.host, f.path, f.rule, CASE WHEN rb = 1 THEN 'block' WHEN rb = 0 THEN 'allow' WHEN j.purity >= 0.8 THEN 'block' ELSE 'allow' END AS verdict, t9.template, round(j.purity, 6) AS purity
+FROM f JOIN t9 ON f.host = t9.host AND f.shape = t9.shape JOIN j ON j.host = t9.host AND j.template = t9.template"""
     return out
 
 

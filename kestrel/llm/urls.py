@@ -59,29 +59,40 @@ def variable(s: Column) -> Column:
     return s.rlike(NUMBER) | (s.rlike("[0-9]") & (s.rlike(HEX) | (F.length(s) >= LONG)))
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Path segments with variable ones as ``*``; what lies below ``depth`` becomes one last ``**``."""
-    segments = F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.when(variable(s), F.lit("*")).otherwise(s))
-    return F.when(F.size(segments) > depth, F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))).otherwise(segments)
+def shape(path: Column) -> Column:
+    """Path segments with variable ones as ``*``."""
+    return F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: F.when(variable(s), F.lit("*")).otherwise(s))
 
 
-def template_tree(pages: DataFrame, depth: int = 4, z: float = 1.96, strength: float = 4.0, reject: float = 0.8) -> DataFrame:
-    """(host, shape, template, n_pages, labelled, bad, purity, rejected) from rows (host, shape, labelled 0/1, bad 0/1)."""
+def template_tree(pages: DataFrame, z: float = 1.96, strength: float = 4.0, reject: float = 0.8) -> DataFrame:
+    """(host, shape, template, n_pages, labelled, bad, purity, rejected) from rows (host, shape, labelled 0/1, bad 0/1).
+
+    A branch whose labelled pages are all bad, all good or none has nothing left to part: what lies below it are wildcards.
+    The others grow on, whatever the depth, so there are as many levels as paths of unlike labels run together.
+    """
     leaves = materialize(pages.groupBy("host", "shape").agg(F.count("*").alias("n_pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "url-leaves")
-    t = leaves.withColumn("template", F.lit(""))
+    open_, done, d = leaves.withColumn("template", F.lit("")), [], 1
     counts = [F.sum("labelled").alias("cl"), F.sum("bad").alias("cb")]
-    for d in range(1, depth + 2):
-        segment = F.get("shape", F.lit(d - 1))
-        t = t.withColumn("seg", segment)
+    while True:
+        t = open_.withColumn("seg", F.get("shape", F.lit(d - 1)))
         child = t.filter("seg is not null").groupBy("host", "template", "seg").agg(*counts)
-        parent = child.groupBy("host", "template").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
-        share = F.when(F.col("pl") > 0, F.col("pb") / F.col("pl"))
+        mixed = child.groupBy("host", "template").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb")).filter("pb > 0 and pb < pl")
+        share = F.col("pb") / F.col("pl")
         # distance of the branch's share from the siblings', in standard errors of a sample of the branch's size
-        far = F.abs(F.col("cb") / F.col("cl") - share) > z * F.sqrt(share * (1 - share) / F.col("cl"))
-        alike = ~F.coalesce((F.col("cl") > 0) & F.when(F.col("cl") > 0, far), F.lit(False))
-        named = child.join(parent, ["host", "template"]).select("host", "template", "seg", F.when(alike | F.col("seg").isin("*", "**"), F.lit("*")).otherwise(F.col("seg")).alias("as"))
-        t = t.join(named, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("as").isNotNull(), F.concat_ws("/", "template", "as")).otherwise(F.col("template"))).drop("seg", "as")
+        far = F.coalesce(F.when(F.col("cl") > 0, F.abs(F.col("cb") / F.col("cl") - share) > z * F.sqrt(share * (1 - share) / F.col("cl"))), F.lit(False))
+        named = child.join(mixed, ["host", "template"]).select("host", "template", "seg", F.when(far & (F.col("seg") != "*"), F.col("seg")).otherwise(F.lit("*")).alias("as"))
+        rest = F.concat("template", F.repeat(F.lit("/*"), F.size("shape") - (d - 1)))
+        grown = F.when(F.col("as").isNotNull(), F.concat_ws("/", "template", "as")).otherwise(rest)
+        t = t.join(named, ["host", "template", "seg"], "left").withColumn("template", grown).withColumn("open", F.col("as").isNotNull()).drop("seg", "as")
         t = materialize(t, "url-templates")  # a level's plan holds the one above three times
+        done.append(t.filter(~F.col("open")).drop("open"))
+        open_ = t.filter("open").drop("open")
+        if not open_.head(1):
+            break
+        d += 1
+    t = done[0]
+    for more in done[1:]:
+        t = t.unionByName(more)
     node = t.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))
     host = t.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     total = t.agg(F.sum("labelled"), F.sum("bad")).first()
@@ -92,14 +103,14 @@ def template_tree(pages: DataFrame, depth: int = 4, z: float = 1.96, strength: f
     return t.join(judged, ["host", "template"]).withColumn("rejected", F.col("purity") >= reject)
 
 
-def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, depth: int = 4, reject: float = 0.8) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, reject: float = 0.8) -> DataFrame:
     """``pages`` (page_id, url, ...) with host, path, rule, verdict, template and purity.
 
     Labelled pages are those that a rule decides and those of ``labels`` (page_id, bad 0/1).
     """
     host, path = split_url(F.col("url"))
     t = without(pages, ADDED).withColumns({"host": host, "path": path})
-    t = t.withColumns({"rule": matched_rule(F.col("host"), F.col("path"), rules), "__shape": shape(F.col("path"), depth)})
+    t = t.withColumns({"rule": matched_rule(F.col("host"), F.col("path"), rules), "__shape": shape(F.col("path"))})
     blocks = [r.name for r in rules if r.verdict == "block"]
     verdict = F.when(F.col("rule").isNull(), None).when(F.col("rule").isin(*blocks) if blocks else F.lit(False), F.lit("block")).otherwise(F.lit("allow"))
     seen = t.select("page_id", "host", F.col("__shape").alias("shape"), verdict.alias("__v"))
@@ -109,7 +120,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = N
     else:
         seen = seen.withColumn("__bad", F.lit(None).cast("int"))
     bad = F.coalesce(F.when(F.col("__v") == "block", 1).when(F.col("__v") == "allow", 0), F.col("__bad"))
-    tree = template_tree(seen.select("host", "shape", bad.isNotNull().cast("long").alias("labelled"), F.coalesce(bad, F.lit(0)).cast("long").alias("bad")), depth, reject=reject)
+    tree = template_tree(seen.select("host", "shape", bad.isNotNull().cast("long").alias("labelled"), F.coalesce(bad, F.lit(0)).cast("long").alias("bad")), reject=reject)
     tree = materialize(tree.select(F.col("host").alias("__host"), F.col("shape").alias("__sh"), "template", "purity", "rejected"), "url-tree")
     out = t.join(tree, (F.col("host") == F.col("__host")) & (F.col("__shape") == F.col("__sh")), "left")
     final = F.coalesce(verdict, F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))

@@ -240,6 +240,15 @@ def test_url_rules(spark):
     assert {(r["template"], r["verdict"], r["count"]) for r in verdicts} == {("/spam/*", "block", 40), ("/ok/*", "allow", 40)}
 
 
+def test_url_branches_part_at_any_depth(spark):
+    deep = [(i, f"http://h.x/2024/05/01/cat/a/b/{'spam' if i < 40 else 'ok'}/p{i}x/{i}") for i in range(80)] + [(200, "http://h.x/" + "t/" * 300)]
+    pages = spark.createDataFrame(deep, "page_id long, url string")
+    labels = pages.select("page_id", (F.col("page_id") < 40).cast("int").alias("bad")).filter("page_id % 2 = 0 and page_id < 80")
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in urls.url_filter(pages, [], labels).collect()}
+    assert len(got) == 81 and got[200] == ("/*" * 300, "allow")
+    assert {got[i] for i in range(40)} == {("/*" * 6 + "/spam/*/*", "block")} and {got[i] for i in range(40, 80)} == {("/*" * 6 + "/ok/*/*", "allow")}
+
+
 def test_quality_features_by_hand(spark):
     text = "a b c d a b c\n\nx\n x\nx # $|"
     row = quality.features(spark.createDataFrame([(1, text, None, None)], "doc_id long, text string, lang string, source string")).first()
