@@ -4,7 +4,8 @@ A sketch is a log-linear histogram: a value keeps its leading ``SIGNIFICANT`` bi
 value at that rank, whatever the order of the merges; merging is a sum of counts.  One sketch a metric is kept for every
 (language, source), and sums of these serve languages and the corpus where a group has fewer than ``min_rows`` rows.  The
 fence of a metric is the third quartile plus ``spread`` times the interquartile range (at least a metric's ``slack``), so it
-follows each source's own habits and a corpus without outliers loses nothing.
+follows each source's own habits and a corpus without outliers loses nothing.  A metric that is zero in three quarters of a
+group has no spread there, and its fence is the slack alone.
 
 Defined results.  A null or empty text has no words and fails the base rule.  Null languages and sources are groups of their
 own.  Repeated rows count each.  No rows in, no rows out.  Input columns that carry a result's name give way to it.
@@ -27,8 +28,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 ADDED = (*COUNTS, "n_lines", "base_failed", "kept", *SLACK)
 
 
-def features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (its columns ``keep``, or all) with the counts, the base rule and the metrics, all within the row."""
+def features(docs: DataFrame, keep: list[str] | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` (its columns ``keep``, or all) with the counts, the base rule and the metrics, all within the row.
+
+    The base rule asks for ``min_words`` words and for at most half of them in repeated windows.
+    """
     columns = [c for c in (keep or docs.columns) if c.lower() not in ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "").alias("__w")
@@ -54,7 +58,7 @@ def features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     step = lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + F.least(F.lit(3), p + 3 - a["end"])).alias("n"))
     repeats = F.coalesce(F.aggregate(starts, start, step)["n"], F.lit(0)).cast("long")
     t = t.withColumn("n_repeat_words", repeats).drop("__s")
-    t = t.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    t = t.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return t.withColumns({
         "symbols": F.expr("10000 * n_symbols div greatest(word_chars, 1L)"),
         "dup_lines": F.expr("10000 * n_dup_lines div greatest(n_lines, 1L)"),
@@ -110,9 +114,9 @@ def judge(rows: DataFrame, fences: DataFrame) -> DataFrame:
     return t.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
 
 
-def quality(docs: DataFrame, keep: list[str] | None = None, spread: int = 3, min_rows: int = 100) -> DataFrame:
+def quality(docs: DataFrame, keep: list[str] | None = None, spread: int = 3, min_rows: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (columns ``keep``, which must hold lang and source) with counts, metrics, fences and the verdict ``kept``."""
-    rows = materialize(features(docs, keep), "quality-rows")
+    rows = materialize(features(docs, keep, min_words), "quality-rows")
     return judge(rows, thresholds(rows, spread, min_rows))
 
 
