@@ -6,6 +6,8 @@ partition pruning and row-group statistics.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,41 @@ def load(spark: SparkSession, root: str, signal: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{signal}").drop("day")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a folder, whatever holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, root: str, signal: str) -> bool:
+    fs, p = _files(spark, f"{root}/{signal}")
+    return fs.exists(p)
+
+
+def size(spark: SparkSession, root: str, signal: str) -> int:
+    """Bytes of a table."""
+    fs, p = _files(spark, f"{root}/{signal}")
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def replace(rows: DataFrame, root: str, signal: str) -> None:
+    """``rows`` instead of a table that they may be made of: written beside it, then put in its place."""
+    spark = rows.sparkSession
+    side = f"{root}/.new-{uuid.uuid4().hex}"
+    if signal in TIME:
+        append(rows, side, signal)
+    else:
+        rows.write.parquet(f"{side}/{signal}")
+    fs, old = _files(spark, f"{root}/{signal}")
+    _, new = _files(spark, f"{side}/{signal}")
+    kept = bool(spark.read.schema(rows.schema).parquet(f"{side}/{signal}").head(1))
+    if fs.exists(old):
+        fs.rename(old, new.suffix(".old"))
+    if kept:
+        fs.rename(new, old)
+    fs.delete(new.getParent(), True)
+
+
 def save_snapshot(signals: dict[str, DataFrame], path: str) -> None:
     """All signals, and then a manifest: a snapshot without one is incomplete and will not load."""
     spark = next(iter(signals.values())).sparkSession
