@@ -219,6 +219,26 @@ class Traces:
 
         return below(None, 0)
 
+    def waterfall(self, trace_id: str) -> DataFrame:
+        """Spans of one trace with their offset from its start and their depth; a span that has no way up to a root is a root.
+
+        Spans without a start are left out of the trace's extent, and offsets lie within it.
+        """
+        rows = self.trace(trace_id).drop("attributes", "events", "links")
+        timed, end = F.col("start_ns") > 0, F.col("start_ns") + F.col("duration_ns")
+        low, high = F.coalesce(F.min(F.when(timed, F.col("start_ns"))), F.min("start_ns")), F.coalesce(F.max(F.when(timed, end)), F.max(end))
+        extent = rows.agg(low.alias("low"), F.greatest(low, high).alias("high"))  # one row
+        depth = Traces(rows).levels().select("trace_id", "span_id", "depth")
+        offset = F.greatest(F.lit(0), F.least(F.col("start_ns") - F.col("low"), F.col("high") - F.col("low")))
+        out = rows.join(depth, ["trace_id", "span_id"], "left").join(extent)
+        return out.select("span_id", "parent_span_id", "name", "service", "status", offset.alias("offset_ns"), F.greatest(F.lit(0), "duration_ns").alias("duration_ns"), F.coalesce("depth", F.lit(0)).alias("depth")).orderBy("offset_ns", "name", "span_id")
+
+    @staticmethod
+    def ordered(found: DataFrame, mode: str = "recent") -> DataFrame:
+        """Trace summaries by start, duration or errors, the most first."""
+        by = {"recent": ["start_ns"], "slowest": ["duration_ns"], "errors": ["error_count", "start_ns"]}[mode]
+        return found.orderBy(*[F.desc(c) for c in by], "trace_id")
+
     def operations(self) -> DataFrame:
         """Spans and errors of each (service, operation)."""
         return self.spans.groupBy("service", "name").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"))

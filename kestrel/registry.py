@@ -451,6 +451,20 @@ def trace_levels(spark, sf_dir):
     return Traces(tables.spans(spark, sf_dir)).levels()
 
 
+A_TRACE = "SELECT * FROM sp WHERE trace_id = lpad('2a', 32, '0')"
+
+
+@register("trace_waterfall", f"WITH RECURSIVE {TREE}, o AS ({A_TRACE}), d AS (SELECT span_id, 0 AS depth FROM o WHERE parent IS NULL OR parent NOT IN (SELECT span_id FROM o) UNION SELECT o.span_id, d.depth + 1 FROM o JOIN d ON o.parent = d.span_id) SELECT span_id, name, start_ns - (SELECT min(start_ns) FROM o) AS offset_ns, dur AS duration_ns, depth FROM o JOIN d USING (span_id)")
+def trace_waterfall(spark, sf_dir):
+    return Traces(tables.spans(spark, sf_dir)).waterfall("2a".rjust(32, "0")).select("span_id", "name", "offset_ns", "duration_ns", "depth")
+
+
+@register("trace_slowest", f"WITH {TREE}, m AS (SELECT trace_id, count(*) AS matched FROM sp WHERE status = 'error' AND qty > 48 GROUP BY trace_id ORDER BY trace_id LIMIT 100), u AS ({SUMMARY}) SELECT trace_id, duration_ns FROM u JOIN m USING (trace_id) ORDER BY duration_ns DESC, trace_id LIMIT 20")
+def trace_slowest(spark, sf_dir):
+    t = Traces(tables.spans(spark, sf_dir))
+    return t.ordered(t.search("{ status = error && span.quantity > 48 }", limit=100), "slowest").select("trace_id", "duration_ns").limit(20)
+
+
 @register("trace_by_id", f"WITH {TREE} SELECT trace_id, span_id, parent AS parent_span_id, name FROM sp WHERE trace_id = lpad('{{0}}', 32, '0')".replace("{0}", "2a"))
 def trace_by_id(spark, sf_dir):
     return Traces(tables.spans(spark, sf_dir)).trace("2A".rjust(32, "0")).select("trace_id", "span_id", "parent_span_id", "name")
