@@ -21,12 +21,14 @@ No rows in, no rows out.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +42,8 @@ BLOCKS = 6
 SKETCH, SLACK = 128, 0.2
 #: Counters for the order of shingles, and how many of them are sent together.
 SLOTS, CHUNK = 1 << 20, 4096
+#: Bit sketches in buckets: their 64-bit words, and the standard deviations that a close pair may be off.  Pairs a group offers in each round.
+WORDS, SIGMAS, OFFERS = 4, 5.5, (2, 16, 128)
 
 
 # ---- fingerprints -----------------------------------------------------------------------------------------------------
@@ -327,24 +331,28 @@ def links(nodes: DataFrame, radius: int, keys: list, kind, tile: int = 32768) ->
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that is reachable, for every node with an edge.
 
-    Large-star and small-star contractions in turn; each round is stored, so lineage stays short and lost executors cost one
-    round.  Adjacency is never collected: a round is a min-aggregate and a join with it.
+    Large-star and small-star contractions in turn until only stars are left: no node is a leaf twice, or both leaf and centre.
+    Each round is stored, so lineage stays short and lost executors cost one round.  Adjacency is never collected: a round is a
+    min-aggregate and a join with it.
     """
-    cur = materialize(edges.filter("a <> b"), "cc")
+    cur = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
     while True:
+        seen = cur.select(F.col("b").alias("u"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(cur.select("a", F.lit(0), F.lit(1)))
+        roles = seen.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        if not roles.filter("leaf + centre > 1").head(1):
+            roots = cur.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+            return cur.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = materialize(large.filter("a <> b").distinct(), "cc")
+        large = large.filter("a <> b").distinct().persist(StorageLevel.DISK_ONLY)  # of one round: what is lost is made again from ``cur``
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(low.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        nxt = materialize(small.filter("a <> b").distinct(), "cc")
-        same = nxt.count() == cur.count() and not nxt.exceptAll(cur.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).head(1)
-        discard(cur, large)
+        nxt = materialize(small.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
+        large.unpersist()
+        discard(cur)
         cur = nxt
-        if same:
-            return cur.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -365,8 +373,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
 
     Exact copies (equal texts) fall together first.  Of the rest, fingerprints of the distinct words (an edit of one word moves
     one feature, not ``words`` of them) propose candidates within a wide radius, and the shingle sets of both texts decide.
-    These are few and may miss a pair; so every pair that they left in two groups is then looked for with :func:`_apart`, which
-    proposes all that can be close, and decided by its sets too.
+    These are few and may miss a pair; so :func:`_join_apart` then looks at all pairs that they left in two groups and that can
+    be close, and joins the groups of those whose sets are.
     The row with the smallest doc_id stays (rows that repeat a doc_id stay or go together); rows with a null doc_id stay, and so do texts without a word.
     """
     text_key = F.struct(F.xxhash64("text"), F.md5("text")).alias("__text")
@@ -381,12 +389,11 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     first = materialize(components(close), "dedup-first")
     label = F.coalesce("root", "node").alias("label")
     labelled = materialize(texts.select("node").distinct().join(first, "node", "left").select("node", label), "dedup-labels")
-    apart = materialize(_apart(docs, labelled, words, similarity), "dedup-apart")
-    rest = _close(docs, apart, words, similarity)
+    rest = _join_apart(docs, labelled, words, similarity)
     roots = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest)).filter("node <> root")
     copies = rows.filter("__has").join(texts.select("__text", "node"), "__text").filter("doc_id > node").select("doc_id")
     gone = materialize(copies.union(roots.select(F.col("node").alias("doc_id"))).distinct(), "dedup-gone")
-    discard(rows, texts, nodes, pairs, close, first, labelled, apart, rest)
+    discard(rows, texts, nodes, pairs, close, first, labelled)
     return docs.join(checked_broadcast(gone).withColumnRenamed("doc_id", "__gone"), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
@@ -423,17 +430,14 @@ def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int = 32768) -> DataFrame:
-    """All pairs (a, b) of documents ``node`` with different ``label`` whose shingle sets may have ``similarity``.
+def _prefix_rows(texts: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+    """(key, node, label, place): every text at the first n - ceil(similarity n) + 1 of its n shingles, rare ones first.
 
-    Prefix filtering: in one order of all shingles, rare ones first, two sets of n and m that are close share one of the first
-    n - ceil(similarity n) + 1 and m - ceil(similarity m) + 1.  At the first that they share, what is left of both sets must
-    allow the overlap.  Any order is right; the rare first keeps buckets small.  Pairs in one group already are not made.
+    ``place`` is the shingle's position in that order, with n above it.  A hot shingle's rows go to every pair of tiles that holds theirs.
     """
-    texts = docs.join(checked_broadcast(labelled), docs["doc_id"] == F.col("node")).select("node", "label", "text")
     slots = _slot_counts(texts, words)
 
-    def first_ones(batches):
+    def run(batches):
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for node, label, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -442,7 +446,7 @@ def _apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: float,
                 take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
                 order = np.lexsort((s, often))[:take]
                 key, at, tiles = s[order], np.arange(len(order)), -(-often[order].astype(np.int64) // tile)
-                if len(tiles) and tiles.max() > 1:  # a hot bucket's rows go to every pair of tiles that holds theirs
+                if len(tiles) and tiles.max() > 1:
                     tiles = np.maximum(tiles, 1)
                     own = np.repeat((xxhash.xxh64_intdigest(str(node), 7) % tiles.astype(object)).astype(np.int64), tiles)
                     other = np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
@@ -457,44 +461,177 @@ def _apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: float,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["key", "node", "label", "place"])
             give_back()
 
-    def meet(key, node, label, place):
-        order = np.lexsort((label, key))
-        key, node, label, place = key[order], node[order], label[order], place[order]
-        n, at = place >> 32, place & 0xFFFFFFFF
-        new = np.append(True, key[1:] != key[:-1])
-        end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
-        new |= np.append(True, label[1:] != label[:-1])
-        after = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
-        width = end - after  # members of the bucket with a later label
-        for part in _parts(width, 2_000_000):
-            w = width[part]
-            a = np.repeat(np.arange(part.start, part.stop), w)
-            b = np.repeat(after[part], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
-            fit = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6
-            fit &= np.minimum(n[a] - at[a], n[b] - at[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6
-            a, b = node[a[fit]], node[b[fit]]
-            if len(a):
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
-        give_back()
+    return texts.mapInArrow(run, "key long, node long, label long, place long")
+
+
+def _pairs_apart(key: np.ndarray, label: np.ndarray, place: np.ndarray, similarity: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, sorted by (key, label), that have one key and two labels and whose sizes and places allow ``similarity``."""
+    n, at = place >> 32, place & 0xFFFFFFFF
+    new = np.append(True, key[1:] != key[:-1])
+    end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+    new |= np.append(True, label[1:] != label[:-1])
+    after = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+    width = end - after  # members of the bucket with a later label
+    for part in _parts(width, most):
+        w = width[part]
+        a = np.repeat(np.arange(part.start, part.stop), w)
+        b = np.repeat(after[part], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+        fit = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6
+        fit &= np.minimum(n[a] - at[a], n[b] - at[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6
+        yield a[fit], b[fit]
+
+
+def _by_key(step):
+    """mapInArrow over rows sorted by their first column: ``step`` gets the columns of whole keys, a bounded number of rows at a time."""
 
     def run(batches):
         held, n = [], 0
         for b in batches:
-            held.append(tuple(b.column(i).to_numpy() for i in range(4)))
+            held.append(tuple(b.column(i).to_numpy() for i in range(b.num_columns)))
             n += b.num_rows
             if n >= 400_000:
                 cols = [np.concatenate(x) for x in zip(*held, strict=True)]
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
                 if cut:
-                    yield from meet(*(c[:cut] for c in cols))
+                    yield from step(*(c[:cut] for c in cols))
+                    give_back()
                 held, n = [tuple(c[cut:] for c in cols)], len(cols[0]) - cut
         if n:
-            yield from meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from step(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            give_back()
+
+    return run
+
+
+def _best(live: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """(a, b, more): in each bucket, the ``most`` pairs of every label that the bit sketches put nearest, or all of them.
+
+    ``more``: the bucket holds further pairs of that label.  Pairs whose sketches differ in ``SIGMAS`` deviations more bits than
+    at ``similarity`` are refused; at 0.8 a close pair is with a chance of 3 in ten million.
+    """
+    share, size = (1 - similarity) / 2, 64 * WORDS
+    differ = int(share * size + SIGMAS * (size * share * (1 - share)) ** 0.5 + 1e-9)
+
+    def nearest(run, d, a, b):
+        order = np.lexsort((b, a, d, run))
+        run, d, a, b = run[order], d[order], a[order], b[order]
+        first = np.append(True, run[1:] != run[:-1])
+        rank = np.arange(len(run)) - np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
+        return tuple(x[rank < most] for x in (run, d, a, b)), np.unique(run[rank >= most])
+
+    def send(node, a, b, more):
+        low, high = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        order = np.lexsort((~more, high, low))
+        low, high, more = low[order], high[order], more[order]
+        new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new]), pa.array(more[new])], names=["a", "b", "more"])
+
+    def meet(key, node, label, place, *sketch):
+        order = np.lexsort((node, label, key))
+        key, node, label, place = key[order], node[order], label[order], place[order]
+        bits = np.stack([x[order] for x in sketch], axis=1).view(np.uint64)
+        run = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])))
+        empty = np.zeros(0, np.int64)
+        held, over = (empty, empty, empty, empty), empty
+        for a, b in _pairs_apart(key, label, place, similarity, 250_000):
+            d = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            a, b, d = a[d <= differ], b[d <= differ], d[d <= differ]
+            if most is None:
+                if len(a):
+                    yield send(node, a, b, np.zeros(len(a), bool))
+                continue
+            offers = ((np.concatenate([run[a], run[b]])), np.concatenate([d, d]), np.concatenate([a, a]), np.concatenate([b, b]))
+            held, left_out = nearest(*(np.concatenate(x) for x in zip(held, offers, strict=True)))
+            over = np.union1d(over, left_out)
+        if len(held[0]):
+            yield send(node, held[2], held[3], np.isin(held[0], over))
+
+    dealt = live.select("key", "node", "label", "place", *[f"b{i}" for i in range(WORDS)]).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_by_key(meet), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _met(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, key, place, bit sketch) of the documents that meet one of another group, and their sets (:func:`_hashes`).
+
+    Prefix filtering: in one order of all shingles, rare ones first, two sets that are close share one of the first
+    n - ceil(similarity n) + 1, so close pairs meet in a bucket; at the first shingle that they share, what is left of both must
+    allow the overlap.  Any order is right; the rare first keeps buckets small.
+    """
+    texts = docs.join(checked_broadcast(labelled), docs["doc_id"] == F.col("node")).select("node", "label", "text")
+
+    def meet(key, node, label, place):
+        order = np.lexsort((label, key))
+        key, node, label, place = key[order], node[order], label[order], place[order]
+        seen = np.zeros(len(key), bool)
+        for a, b in _pairs_apart(key, label, place, similarity, 2_000_000):
+            seen[a], seen[b] = True, True
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (key, node, place)], names=["key", "node", "place"])
+
+    rows = _prefix_rows(texts, words, similarity, tile).repartition("key").sortWithinPartitions("key")
+    live = materialize(rows.mapInArrow(_by_key(meet), "key long, node long, place long"), "dedup-live")
+    met = materialize(live.select(F.col("node").alias("id")).distinct(), "dedup-met")
+    sets = _hashes(docs.join(checked_broadcast(met), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text"), words, None, "dedup-sets")
+    bits = materialize(_bit_sketches(sets), "dedup-bits")
+    return live.join(checked_broadcast(bits), "node"), sets
+
+
+def _join_apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int = 32768) -> DataFrame:
+    """Links (a, b) that join the groups ``label`` of the documents ``node`` wherever two of different groups are close.
+
+    A bucket doesn't send its pairs.  In rounds, each group offers the few that bit sketches put nearest, the exact sets decide,
+    and groups that are joined have nothing left to offer one another.  Offers grow from round to round, and the last round
+    leaves out none, so every close pair has been decided or lies within a group.
+    """
+    live, sets = _met(docs, labelled, words, similarity, tile)
+    exact = _overlap() >= similarity * (F.col("n_a") + F.col("n_b") - _overlap())
+    links, decided = [], None
+    for most in (*OFFERS, None):
+        new = offers = materialize(_best(live.join(checked_broadcast(labelled), "node"), similarity, most), "dedup-offers")
+        if decided is not None:
+            new = materialize(offers.join(decided, ["a", "b"], "left_anti"), "dedup-new")
+        new = new.select("a", "b")
+        links.append(materialize(_with_both(new, _of(sets, new)).filter(exact).select("a", "b").distinct(), "dedup-close"))
+        if not offers.filter("more").head(1):
+            break
+        decided = new if decided is None else decided.unionByName(new)
+        labelled = _relabel(labelled, links[-1])
+    discard(sets)
+    return functools.reduce(DataFrame.unionByName, links)
+
+
+def _relabel(labelled: DataFrame, close: DataFrame) -> DataFrame:
+    """``labelled`` (node, label) with the groups that the links (a, b) join under one label."""
+    of = lambda x: labelled.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    if not close.head(1):
+        return labelled
+    edges = close.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    roots = components(edges).select(F.col("node").alias("label"), "root")
+    return materialize(labelled.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "dedup-labels")
+
+
+def _bit_sketches(sets: DataFrame) -> DataFrame:
+    """(node, b0 ...): one bit of each of 64 * WORDS minima of a text's shingles.  Two texts of similarity J differ in (1 - J) / 2 of them."""
+    rng = np.random.default_rng(20240301)
+    odd, salt = (rng.integers(0, 1 << 63, 64 * WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
+
+    def run(batches):
+        for b in batches:
+            out = np.zeros((b.num_rows, 64 * WORDS), np.uint8)
+            for i, s in enumerate(b.column("s")):
+                h, low = s.values.to_numpy().view(np.uint64), np.full(64 * WORDS, np.iinfo(np.uint64).max)
+                for at in range(0, len(h), 4096):
+                    low = np.minimum(low, ((h[at : at + 4096, None] ^ salt) * odd).min(axis=0))
+                out[i] = (low >> np.uint64(20)) & np.uint64(1)
+            packed = np.packbits(out, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(packed[:, i].copy()) for i in range(WORDS)]], names=["node", *[f"b{i}" for i in range(WORDS)]])
+            give_back()
+
+    return sets.select("doc_id", "s").mapInArrow(run, "node long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
+
 
-    rows = texts.mapInArrow(first_ones, "key long, node long, label long, place long")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    return found.filter("a <> b").groupBy("a", "b").agg(F.lit(1).alias("__one")).select("a", "b")
+def _overlap() -> F.Column:
+    return F.size(F.array_intersect("s_a", "s_b"))
 
 
 def _close(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -504,7 +641,7 @@ def _close(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
     the ``SKETCH`` smallest hashes of both sets must not put the pair ``SLACK`` below the asked similarity.  A sketch of 128
     errs by 0.035 (one standard deviation), so a close pair is refused with a chance under one in a million.
     """
-    sketches = _hashes(_involved(docs, pairs, "dedup-involved"), words, SKETCH, "dedup-sketches")
+    sketches = _hashes(_of(docs, pairs).select("doc_id", "text"), words, SKETCH, "dedup-sketches")
     size = sketches.select("doc_id", "n").distinct()
     sized = pairs.join(_named(size, "a"), "a").join(_named(size, "b"), "b")
     fits = materialize(sized.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"), "dedup-fits")
@@ -513,7 +650,7 @@ def _close(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
     common = F.size(F.array_intersect("s_a", "s_b"))
     alike = common >= (similarity - SLACK) * (seen("a") + seen("b") - common)
     likely = materialize(_with_both(fits, sketches).filter(alike).select("a", "b").distinct(), "dedup-likely")
-    sets = _hashes(_involved(docs, likely, "dedup-likely-ids"), words, None, "dedup-sets")
+    sets = _hashes(_of(docs, likely).select("doc_id", "text"), words, None, "dedup-sets")
     exact = common >= similarity * (F.col("n_a") + F.col("n_b") - common)
     close = materialize(_with_both(likely, sets).filter(exact).select("a", "b"), "dedup-close")
     discard(sketches, fits, likely, sets)
@@ -528,10 +665,11 @@ def _with_both(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return checked_broadcast(pairs).join(_named(hashes, "a"), "a").join(_named(hashes, "b"), "b")
 
 
-def _involved(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text) of the documents that are in a pair."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), label)
-    return docs.join(checked_broadcast(ids), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text")
+def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose doc_id is in a stored pair.  There are at most twice as many ids as pairs."""
+    ids = pairs.select(F.col("a").alias("__id")).union(pairs.select("b")).distinct()
+    ids = F.broadcast(ids) if pairs.count() <= 1_000_000 else ids
+    return table.join(ids, table["doc_id"] == F.col("__id"), "left_semi")
 
 
 def _hashes(docs: DataFrame, words: int, most: int | None, label: str) -> DataFrame:

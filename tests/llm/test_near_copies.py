@@ -60,4 +60,25 @@ def test_pairs_near_the_asked_similarity_are_all_proposed(spark, tile):
     sets = [set(simhash.shingles(t, 5)) for t in texts]
     close = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     labelled = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
-    assert close and close <= {tuple(r) for r in simhash._apart(docs, labelled, 5, 0.8, tile).collect()}
+    live, _ = simhash._met(docs, labelled, 5, 0.8, tile)
+    assert close and close <= {(r["a"], r["b"]) for r in simhash._best(live.join(labelled, "node"), 0.8, None).collect()}
+
+
+@pytest.mark.parametrize("offers", [(1,), (2, 16, 128)])
+def test_groups_left_apart_are_joined(spark, offers, monkeypatch):
+    """Without any candidates before it, and from families of copies whose members are partly close and partly not."""
+    monkeypatch.setattr(simhash, "OFFERS", offers)
+    rng = random.Random(8)
+    texts = with_added_text()
+    for _ in range(3):
+        words = [f"w{rng.randrange(20000)}" for _ in range(200)]
+        for _ in range(25):
+            copy = list(words)
+            for at in rng.sample(range(200), rng.randrange(1, 6)):
+                copy[at] = f"w{rng.randrange(20000)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    labelled = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
+    links = simhash._join_apart(docs, labelled, 5, 0.8)
+    gone = {r["node"] for r in simhash.components(links).filter("node <> root").collect()}
+    assert [i for i in range(len(texts)) if i not in gone] == brute_force(texts)
