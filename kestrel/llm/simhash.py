@@ -7,8 +7,8 @@ the differences accumulated so far on the factored bits and drops a whole group
 
 Two ways of dealing.  ``blocks`` is exact for a small radius: the 64 bits are cut into six blocks, and fingerprints within
 four bits of each other agree on at least two of them, so a bucket is a pair of blocks and its 20 to 22 bits.  ``projections``
-is for wider radii: ``tables`` random selections of ``bits`` bits, which two fingerprints at distance d share with
-probability about (1 - d/64)^bits each.
+is for wider radii: ``tables`` random selections of bits, which two fingerprints at distance d share with probability about
+(1 - d/64)^bits each.  The bits follow the logarithm of the number of fingerprints, so that buckets don't grow with the corpus.
 
 A bucket reports links as a star to each connected group's representative, never as all pairs, so what is emitted stays
 linear.  Buckets above ``tile`` fingerprints are cut into tiles and searched tile pair by tile pair, which is exact and
@@ -383,6 +383,8 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     # one node for each distinct fingerprint stands for all texts that have it; such texts are candidates of one another
     nodes = materialize(texts.groupBy("fp").agg(F.min("node").alias("node")), "dedup-nodes")
     same = texts.join(nodes.withColumnRenamed("node", "rep"), "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    # buckets of four fingerprints or so, if they were random, at any size; what fewer shared bits miss is found further below
+    bits = min(40, max(bits, nodes.count().bit_length() - 2))
     wide = links(nodes, radius, projection_keys(tables, bits), candidate_links)
     pairs = materialize(wide.unionByName(same), "dedup-pairs")
     close = _close(docs, pairs, words, similarity)
