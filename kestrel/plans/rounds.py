@@ -5,17 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df``, written to the folder that driver and executors share and read again: it outlives executors, and plans stay short.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only a local session may leave it unset and gets a temporary one.
+    Only a local session may leave that unset and gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
@@ -23,9 +22,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kestrel-"))
         root = sc.getCheckpointDir()
-    path = f"{root.rstrip('/')}/kestrel/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/kestrel/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written to the shared folder and read again: it outlives executors, and plans stay short."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sum_before(df: DataFrame, order: list[str], n: str, name: str) -> DataFrame:

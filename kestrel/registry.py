@@ -13,7 +13,9 @@ from .operators.logs import Logs
 from .operators.metrics import Metrics
 from .operators.reports import Reports
 from .operators.traces import Traces
-from .sources import ingest, requests, tables, wire
+from .plans.rounds import shared_path
+from .sources import ingest, requests, store, tables, wire
+from .streaming import pipelines
 
 DAY = 86_400_000
 START, END, STEP = 1_704_067_200_000, 1_706_659_200_000, 21_600_000
@@ -548,3 +550,41 @@ def ingest_export_traces_binary(spark, sf_dir):
 def ingest_remote_write(spark, sf_dir):
     binary = wire.encoded(requests.write_requests(spark, sf_dir), "write_request", "snappy")
     return ingest.remote_write(binary).select(L.text(F.col("key")).alias("series"), "ts_ms", "value")
+
+
+# ---- stores and streams -----------------------------------------------------------------------------------------------
+
+
+@register("store_logs", f"WITH {LINES} SELECT {STREAM} AS stream, ts_ns, line, ingest_seq FROM s")
+def store_logs(spark, sf_dir):
+    root = shared_path(spark, "store")
+    store.append(tables.logs(spark, sf_dir), root, "logs")
+    return store.load(spark, root, "logs").select(L.text(F.col("key")).alias("stream"), "ts_ns", "line", "ingest_seq")
+
+
+@register("store_samples", f"WITH {GAUGE} SELECT {G_SERIES} AS series, ts AS ts_ms, v AS value FROM s")
+def store_samples(spark, sf_dir):
+    root = shared_path(spark, "store")
+    store.append(tables.samples(spark, sf_dir), root, "samples")
+    return store.load(spark, root, "samples").select(L.text(F.col("key")).alias("series"), "ts_ms", "value")
+
+
+@register("store_snapshot", f"WITH {TREE} SELECT trace_id, span_id FROM sp WHERE status = 'error'")
+def store_snapshot(spark, sf_dir):
+    path = shared_path(spark, "snapshot")
+    store.save_snapshot({"spans": tables.spans(spark, sf_dir), "logs": tables.logs(spark, sf_dir)}, path)
+    return Traces(store.load_snapshot(spark, path)["spans"]).query("{ status = error }").select("trace_id", "span_id")
+
+
+@register("stream_push", PUSHED)
+def stream_push(spark, sf_dir):
+    landing, root = shared_path(spark, "landing"), shared_path(spark, "store")
+    requests.push(spark, sf_dir).write.text(landing)
+    pipelines.follow(spark, landing, "push", root, shared_path(spark, "progress")).awaitTermination()
+    return store.load(spark, root, "logs").select(L.text(F.col("key")).alias("stream"), "ts_ns", "line")
+
+
+@register("stream_recent_activity", f"WITH {LINES} SELECT ts_ns // 3600000000000 AS hour, svc AS service, count(*) AS entries, count(*) FILTER (WHERE level = 'error') AS errors FROM s GROUP BY ALL")
+def stream_recent_activity(spark, sf_dir):
+    t = pipelines.recent_activity(tables.logs(spark, sf_dir), window="1 hour")
+    return t.select(F.expr("unix_micros(window.start) div 3600000000").alias("hour"), "service", "entries", "errors")
