@@ -50,7 +50,7 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checked_broadcast(table: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+def checked_broadcast(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A stored table of a few numbers a row: broadcast if it is counted to have at most ``most_rows``, else joined by shuffle."""
     return F.broadcast(table) if table.count() <= most_rows else table
 

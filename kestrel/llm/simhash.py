@@ -552,8 +552,9 @@ def _best(live: DataFrame, similarity: float, most: int | None) -> DataFrame:
     return dealt.mapInArrow(_by_key(meet), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def _met(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, key, place, bit sketch) of the documents that meet one of another group, and their sets (:func:`_hashes`).
+def _met(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (node, key, place, bit sketch) of the documents that meet one of another group, their sets (:func:`_hashes`), and the
+    stored tables that the rows are read from.
 
     Prefix filtering: in one order of all shingles, rare ones first, two sets that are close share one of the first
     n - ceil(similarity n) + 1, so close pairs meet in a bucket; at the first shingle that they share, what is left of both must
@@ -575,7 +576,7 @@ def _met(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, ti
     met = materialize(live.select(F.col("node").alias("id")).distinct(), "dedup-met")
     sets = _hashes(docs.join(checked_broadcast(met), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text"), words, None, "dedup-sets")
     bits = materialize(_bit_sketches(sets), "dedup-bits")
-    return live.join(checked_broadcast(bits), "node"), sets
+    return live.join(checked_broadcast(bits, 300_000), "node"), sets, [live, met, bits]
 
 
 def _join_apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int = 32768) -> DataFrame:
@@ -585,20 +586,22 @@ def _join_apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: fl
     and groups that are joined have nothing left to offer one another.  Offers grow from round to round, and the last round
     leaves out none, so every close pair has been decided or lies within a group.
     """
-    live, sets = _met(docs, labelled, words, similarity, tile)
+    live, sets, spent = _met(docs, labelled, words, similarity, tile)
     exact = _overlap() >= similarity * (F.col("n_a") + F.col("n_b") - _overlap())
     links, decided = [], None
     for most in (*OFFERS, None):
         new = offers = materialize(_best(live.join(checked_broadcast(labelled), "node"), similarity, most), "dedup-offers")
+        spent.append(offers)
         if decided is not None:
             new = materialize(offers.join(decided, ["a", "b"], "left_anti"), "dedup-new")
+            spent.append(new)
         new = new.select("a", "b")
         links.append(materialize(_with_both(new, _of(sets, new)).filter(exact).select("a", "b").distinct(), "dedup-close"))
         if not offers.filter("more").head(1):
             break
         decided = new if decided is None else decided.unionByName(new)
         labelled = _relabel(labelled, links[-1])
-    discard(sets)
+    discard(sets, *spent)
     return functools.reduce(DataFrame.unionByName, links)
 
 

@@ -60,7 +60,7 @@ def test_pairs_near_the_asked_similarity_are_all_proposed(spark, tile):
     sets = [set(simhash.shingles(t, 5)) for t in texts]
     close = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     labelled = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
-    live, _ = simhash._met(docs, labelled, 5, 0.8, tile)
+    live, *_ = simhash._met(docs, labelled, 5, 0.8, tile)
     assert close and close <= {(r["a"], r["b"]) for r in simhash._best(live.join(labelled, "node"), 0.8, None).collect()}
 
 
