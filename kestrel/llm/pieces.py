@@ -93,31 +93,38 @@ class Vocabulary:
             self.longest = max(self.longest, len(piece))
         self.piece_at = np.full(len(children) + 1, -1, np.int32)
         self.piece_at[list(final)] = list(final.values())
-        self.bits = max(8, len(children).bit_length() + 3)
-        self.slot_key = np.full(1 << self.bits, -1, np.int64)
-        self.slot_value = np.zeros(1 << self.bits, np.int32)
+        # a slot holds key << 20 | child, so a probe is one look-up; the root's children lie in an array of their own
+        if len(children) >= 1 << 20:
+            raise ValueError("the vocabulary's trie has too many nodes")
+        self.bits = max(8, len(children).bit_length() + 2)
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.of_root = np.zeros(NO_CODE + 1, np.int32)
         for (node, c), child in children.items():
+            if not node:
+                self.of_root[c] = child
+                continue
             k = (node << 21) | c
             h = self._hash_one(k)
-            while self.slot_key[h] >= 0:
+            while self.slots[h] >= 0:
                 h = (h + 1) & ((1 << self.bits) - 1)
-            self.slot_key[h], self.slot_value[h] = k, child
+            self.slots[h] = k << 20 | child
 
     def _hash_one(self, key: int) -> int:
         return ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - self.bits)
 
     def child(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Trie children, -1 where there is none."""
+        """Children of trie nodes below the root, 0 where there is none."""
         key = (node.astype(np.int64) << 21) | code
-        h = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(len(key), -1, np.int32)
-        todo = np.arange(len(key))
-        while len(todo):
-            found = self.slot_key[h[todo]]
-            hit = found == key[todo]
-            out[todo[hit]] = self.slot_value[h[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
-            h[todo] = (h[todo] + 1) & ((1 << self.bits) - 1)
+        h = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+        found = self.slots[h]
+        out = np.where(found >> 20 == key, found & 0xFFFFF, 0).astype(np.int32)
+        on = np.flatnonzero((out == 0) & (found >= 0))
+        while len(on):
+            h[on] = (h[on] + 1) & ((1 << self.bits) - 1)
+            found = self.slots[h[on]]
+            hit = found >> 20 == key[on]
+            out[on[hit]] = found[hit] & 0xFFFFF
+            on = on[~hit & (found >= 0)]
         return out
 
 
@@ -151,7 +158,7 @@ class Lattices:
     """
 
     def __init__(self, words: list[str], v: Vocabulary):
-        size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         order = np.argsort(-size, kind="stable")
         self.rank = np.empty(len(words), np.int64)  # word -> its place among the sorted
         self.rank[order] = np.arange(len(words))
@@ -160,31 +167,34 @@ class Lattices:
         # words with a node at position p: those longer than or equal to p
         with_node = np.searchsorted(-size, -np.arange(longest + 2), "right") if longest else np.zeros(2, np.int64)
         self.base = np.concatenate(([0], np.cumsum(with_node[: longest + 1]))).astype(np.int64)
-        joined = "\0".join([" " + words[i] for i in order]) + "\0"
+        joined = "\0".join([" " + words[i] for i in order.tolist()]) + "\0"
         flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.int32)
         first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
         word = np.repeat(np.arange(len(words), dtype=np.int32), size + 1)
         pos = np.arange(len(flat), dtype=np.int32) - first.astype(np.int32)[word]
         inside = pos < size.astype(np.int32)[word]  # the rest are word ends, which no piece crosses
+        base = self.base.astype(np.int32)
+        node_of = base[pos] + word
         code = np.append(np.where(inside & (flat != ord(SPACE_MARK)), flat, NO_CODE), np.full(v.longest, NO_CODE, np.int32))
         # pieces starting at every character, a length at a time
-        starts, lengths, ids = [], [], []
-        live = np.flatnonzero(inside).astype(np.int32)
-        node = np.zeros(len(live), np.int32)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        live = np.flatnonzero(inside)
+        node = v.of_root[code[live]]
+        n_nodes = int(self.base[-1])
+        counts = np.zeros(n_nodes, np.int64)
         for n in range(1, v.longest + 1):
+            ok = node > 0
+            live, node = live[ok], node[ok]
             if not len(live):
                 break
-            node = v.child(node, code[live + (n - 1)])
-            ok = node >= 0
-            live, node = live[ok], node[ok]
             piece = v.piece_at[node]
             found = piece >= 0
-            starts.append(live[found])
-            lengths.append(np.full(int(found.sum()), n, np.int32))
-            ids.append(piece[found])
+            edges.append((live[found], piece[found]))
+            counts[node_of[live[found]]] += 1
+            node = v.child(node, code[live + n])
         single = np.zeros(len(flat), bool)
-        if starts:
-            single[starts[0]] = True
+        if edges:
+            single[edges[0][0]] = True
         missing = np.flatnonzero(inside & ~single)  # no piece for the character alone: its bytes
         self.fallback: list[np.ndarray] = []
         known: dict[int, int] = {}
@@ -194,23 +204,18 @@ class Lattices:
                 known[c] = len(self.fallback)
                 self.fallback.append(v.byte_ids[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)])
             codes.append(-1 - known[c])
-        starts.append(missing)
-        lengths.append(np.ones(len(missing), np.int32))
-        ids.append(np.array(codes, np.int32))
-        start, length, piece = np.concatenate(starts[::-1]), np.concatenate(lengths[::-1]), np.concatenate(ids[::-1])
-        del starts, lengths, ids, live, single, code, inside
-        p, w = pos[start], word[start]
-        del start, pos, word
-        base = self.base.astype(np.int32)
-        node = base[p] + w
-        order = np.argsort((node.astype(np.int64) << 8) - length)  # a node has one edge of a length at most
-        self.piece, self.source = piece[order], node[order]
-        self.target = (base[p + length] + w)[order]
-        piece, node = self.piece, self.source
-        del order, p, w, length
-        n_nodes = int(self.base[-1])
-        counts = np.bincount(node, minlength=n_nodes)
-        self.first_edge = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+        counts[node_of[missing]] += 1
+        # a node has one edge of a length at most: the longest lengths take their places first
+        self.first_edge = np.concatenate(([0], np.cumsum(counts)))
+        free = self.first_edge[:-1].copy()
+        piece, self.source, self.target = (np.empty(self.first_edge[-1], np.int32) for _ in range(3))
+        for n, (at, ids) in [*reversed(list(enumerate(edges, 1))), (1, (missing, np.array(codes, np.int32)))]:
+            here = node_of[at]
+            place = free[here]
+            free[here] += 1
+            piece[place], self.source[place], self.target[place] = ids, here, base[pos[at] + n] + word[at]
+        self.piece, node = piece, self.source
+        del edges, live, single, code, inside, pos, word, node_of, free
         beta = np.zeros(n_nodes)
         val = np.empty(len(node))
         for at in range(longest - 1, -1, -1):
@@ -226,10 +231,12 @@ class Lattices:
             beta[lo:hi] = top + np.log(total)
         val -= beta[node]
         self.logq = val
-        q = np.exp(self.logq)
-        self.cdf = np.cumsum(q)
-        self.cdf -= np.repeat((self.cdf - q)[self.first_edge[:-1][counts > 0]], counts[counts > 0])
-        self.size = size
+        self.cdf = np.exp(self.logq)
+        at, left = self.first_edge[:-1][counts > 1], counts[counts > 1]
+        while len(at):  # each node's own sum, so that it doesn't depend on what else is in the batch
+            at, left = at + 1, left - 1
+            self.cdf[at] += self.cdf[at - 1]
+            at, left = at[left > 1], left[left > 1]
 
     def roots(self, words: np.ndarray) -> np.ndarray:
         return self.base[0] + self.rank[words]
@@ -475,7 +482,7 @@ def path_ids(lat: Lattices, edges: np.ndarray, begin: np.ndarray) -> tuple[np.nd
 
 def decode_ids(ids, text_of: list[bytes]) -> str:
     """The text of ids: pieces and bytes joined, less the dummy space."""
-    out = b"".join([text_of[i] for i in ids])
+    out = b"".join(map(text_of.__getitem__, ids))
     return out[1:].decode("utf-8", "surrogatepass") if out[:1] == b" " else out.decode("utf-8", "surrogatepass")
 
 
@@ -486,17 +493,16 @@ def log_inclusion(log_prob: np.ndarray, threshold: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(threshold), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 30))))))
 
 
-def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 250_000) -> Iterator[tuple[int, list]]:
-    """(row, samples as (ids, log probability, perturbed value, log inclusion)) for rows with a text, some at a time."""
-    texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-    at = 0
-    while at < len(texts):
-        to, chars = at, 0
-        while to < len(texts) and (to == at or chars + len(texts[to] or "") <= most_chars):
-            chars += len(texts[to] or "")
-            to += 1
-        rows = [i for i in range(at, to) if texts[i] is not None]
+def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 500_000) -> Iterator[tuple[int, str, list]]:
+    """(row, text, samples as (ids, log probability, perturbed value, log inclusion)) for rows with a text, some at a time."""
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    to = 0
+    while to < batch.num_rows:
         at = to
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most_chars, "right")))
+        part = batch.slice(at, to - at)
+        texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
+        rows = [i for i, t in enumerate(texts) if t is not None]
         if not rows:
             continue
         samples, lat, threshold = sampler.sample([texts[i] for i in rows], [ids[i] for i in rows], k)
@@ -507,7 +513,7 @@ def sampled(batch: pa.RecordBatch, sampler: Sampler, k: int, most_chars: int = 2
             for s, (seq, begin), inc in zip(samples, flat, score, strict=True):
                 if s.exists[j]:
                     out.append((seq[begin[j] : begin[j + 1]], float(s.log_prob[j]), float(s.perturbed[j]), float(inc[j])))
-            yield i, out
+            yield at + i, texts[i], out
         del samples, lat, threshold, flat, score
         give_back()
 
@@ -523,7 +529,7 @@ def encode(docs: DataFrame, model: PieceModel, k: int = 2) -> DataFrame:
 
         def step(batch):
             rows: list = [None] * batch.num_rows
-            for i, found in sampled(batch, sampler, k):
+            for i, _, found in sampled(batch, sampler, k):
                 rows[i] = [{"ids": x.tolist(), "log_prob": p, "perturbed": g, "log_inclusion": c} for x, p, g, c in found]
             kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
             return [pa.array(rows, kind)]
@@ -554,11 +560,11 @@ def digests(docs: DataFrame, model: PieceModel, k: int = 2) -> DataFrame:
         sampler = Sampler(model)
         text_of = sampler.v.text_of
         for b in batches:
-            doc, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            doc = b.column("doc_id").to_pylist()
             rows = [(d, 0, None, None, None, None, None, None) for d in doc]
-            for i, found in sampled(b, sampler, k):
+            for i, text, found in sampled(b, sampler, k):
                 md5 = [hashlib.md5(x.astype("<i4").tobytes()).hexdigest() for x, *_ in found]
-                ok = all(decode_ids(x.tolist(), text_of) == texts[i] for x, *_ in found)
+                ok = all(decode_ids(x.tolist(), text_of) == text for x, *_ in found)
                 rows[i] = (doc[i], len(found), [len(x) for x, *_ in found], md5, [round(p, 6) for _, p, _, _ in found], [round(c, 6) for *_, c in found], len(set(md5)) == len(md5), ok)
             kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_(), pa.bool_()]
             names = ["doc_id", "n_samples", "n_pieces", "ids_md5", "log_prob", "log_inclusion", "all_distinct", "round_trip"]
