@@ -61,8 +61,7 @@ def ceil_div(a: Column, n: int) -> Column:
 
 def to_number(s: Column) -> Column:
     """A double, or null if the trimmed text is not a number."""
-    t = F.trim(s)
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+    return F.get(F.transform(F.array(F.trim(s)), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double"))), F.lit(0))  # ``s`` is computed once
 
 
 def number_text(x: float) -> str:

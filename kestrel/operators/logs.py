@@ -6,6 +6,7 @@ and metric functions give the surviving lines to the windows of the step grid.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -58,11 +59,24 @@ def regexp_labels(line: Column, pattern: str) -> Column:
     return F.when(line.rlike(java), F.map_from_entries(found))
 
 
-def run_stages(rows: DataFrame, stages: tuple[Q.Stage, ...]) -> tuple[DataFrame, str | None]:
-    """Rows that pass, with ``found`` (all labels), and the field that the first unwrap names."""
-    rows, unwrap = rows.withColumn("found", F.col("labels")), None
+def holds(value: Column, test) -> Column:
+    """``test`` of a value that is computed once, however often the test looks at it; null counts as false."""
+    return F.exists(F.array(value), lambda x: F.coalesce(test(x), F.lit(False)))
+
+
+def run_stages(rows: DataFrame, stages: tuple[Q.Stage, ...]) -> tuple[DataFrame, Column | None]:
+    """Rows that pass, with ``found`` (all labels), and the value of the label that the first unwrap names.
+
+    Filters look up their one label in what each stage has read; the whole of ``found`` is put together only if it is asked for.
+    """
+    read: list[Column] = []
+    unwrap = None
+
+    def label(name: str) -> Column:
+        return F.coalesce(*[r[name] for r in reversed(read)], F.col("labels")[name])
+
     for s in stages:
-        line, label = F.col("line"), F.col("found")[s.name] if s.name else None
+        line = F.col("line")
         if s.kind in ("contains", "lacks"):
             hit = line.contains(s.value)
             rows = rows.filter(hit if s.kind == "contains" else ~hit)
@@ -72,24 +86,23 @@ def run_stages(rows: DataFrame, stages: tuple[Q.Stage, ...]) -> tuple[DataFrame,
                 raise ValueError(f"invalid pattern {s.value!r}")
             rows = rows.filter(line.rlike(java) if s.kind == "finds" else ~line.rlike(java))
         elif s.kind == "json":
-            rows = rows.withColumn("found", merged(F.col("found"), json_labels(line)))
+            read.append(json_labels(line))
         elif s.kind == "logfmt":
-            rows = rows.withColumn("found", merged(F.col("found"), logfmt_labels(line)))
+            read.append(logfmt_labels(line))
         elif s.kind == "regexp":
-            rows = rows.withColumn("found", merged(F.col("found"), regexp_labels(line, s.value)))
+            read.append(regexp_labels(line, s.value))
         elif s.kind == "unwrap":
             unwrap = unwrap or s.name
         elif s.kind == "compare":
-            n = to_number(label)
-            test = {">": n > s.value, ">=": n >= s.value, "<": n < s.value, "<=": n <= s.value}[s.op]
-            rows = rows.filter(F.coalesce(test & ~F.isnan(n), F.lit(False)))
+            test = {">": lambda n: n > s.value, ">=": lambda n: n >= s.value, "<": lambda n: n < s.value, "<=": lambda n: n <= s.value}[s.op]
+            rows = rows.filter(holds(to_number(label(s.name)), lambda n: test(n) & ~F.isnan(n)))  # noqa: B023
         elif s.op in ("=", "!="):
-            rows = rows.filter(F.coalesce(label == s.value if s.op == "=" else label != s.value, F.lit(False)))
+            rows = rows.filter(F.coalesce(label(s.name) == s.value if s.op == "=" else label(s.name) != s.value, F.lit(False)))
         else:
             java = L.java_regex(s.value)
-            hit = label.rlike(java) if java is not None else F.lit(False)
+            hit = label(s.name).rlike(java) if java is not None else F.lit(False)
             rows = rows.filter(F.coalesce(hit if s.op == "=~" else ~hit, F.lit(False)))
-    return rows, unwrap
+    return rows.withColumn("found", functools.reduce(merged, read, F.col("labels"))), None if unwrap is None else label(unwrap)
 
 
 class Logs:
@@ -121,7 +134,7 @@ class Logs:
         grid = Grid(start_ns, end_ns, step)
         base = self.select(q.pipeline.matchers, start_ns - q.range_ns, end_ns)
         rows, unwrap = run_stages(base, q.pipeline.stages)
-        number = to_number(F.coalesce(F.col("found")[unwrap], F.col("line")) if unwrap else F.col("line"))
+        number = to_number(F.col("line") if unwrap is None else F.coalesce(unwrap, F.col("line")))
         value = {"bytes_over_time": F.octet_length("line").cast("double"), "count_over_time": F.lit(1.0), "rate": F.lit(1.0)}.get(q.function, number)
         rows = rows.select("key", "ts_ns", value.alias("v")).filter("v is not null")
         finite = F.when(~F.isnan("v"), F.col("v"))
