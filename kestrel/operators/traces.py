@@ -86,7 +86,8 @@ def condition(c: Q.Condition) -> Column:
     value = F.get(F.filter("attributes", lambda a: a["key"].isin(c.key, bare)), F.lit(0))["value"]
     if c.key in ("resource.service.name",) and c.op in ("=", "!=", "=~") and isinstance(c.value, str):
         value = F.coalesce(value, text_value(F.col("service")))
-    return F.when(value.isNull(), F.lit(c.op == "!=")).otherwise(typed_test(c.op, value, c.value))
+    test = lambda v: F.when(v.isNull(), F.lit(c.op == "!=")).otherwise(typed_test(c.op, v, c.value))
+    return F.get(F.transform(F.array(value), test), F.lit(0))  # the attribute is looked up once
 
 
 def matches(s: Q.Selector) -> Column:
