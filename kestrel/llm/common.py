@@ -61,6 +61,12 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in gone])
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that what is unpacked from it stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def with_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField]) -> DataFrame:
     """Append ``fields``, computed from whole Arrow batches.  ``make()`` runs once a task and returns batch -> arrays.
 
@@ -71,8 +77,9 @@ def with_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=[*b.schema.names, *names])
+        for batch in batches:
+            for b in slices(batch):
+                yield pa.RecordBatch.from_arrays([*b.columns, *step(b)], names=[*b.schema.names, *names])
             give_back()
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields]))

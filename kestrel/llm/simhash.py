@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked_broadcast, discard, give_back, materialize, with_arrow
+from .common import checked_broadcast, discard, give_back, materialize, slices, with_arrow
 
 FINGERPRINT = T.StructField("__fp", T.LongType(), False)
 FANOUT = 8
@@ -42,6 +42,8 @@ BLOCKS = 6
 SKETCH, SLACK = 128, 0.2
 #: Counters for the order of shingles, and how many of them are sent together.
 SLOTS, CHUNK = 1 << 20, 4096
+#: One text in so many is looked at to see which buckets are hot.
+PLAN = 64
 #: Bit sketches in buckets: their 64-bit words, and the standard deviations that a close pair may be off.  Pairs a group offers in each round.
 WORDS, SIGMAS, OFFERS = 4, 5.5, (2, 16, 128)
 
@@ -155,7 +157,7 @@ class GrayIndex:
                 q, node, acc = q[~whole], node[~whole], acc[~whole]
             begin, end = self.children[level]
             width = end[node] - begin[node]
-            for part in _parts(width, 2_000_000):
+            for part in _parts(width, 500_000):
                 n, w = node[part], width[part]
                 child = np.repeat(begin[n], w) + (np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w))
                 stack.append((level - 1, np.repeat(q[part], w), child, np.repeat(acc[part], w), np.repeat(mask[n], w)))
@@ -405,12 +407,12 @@ def _set(text: str | None, words: int) -> np.ndarray:
 
 
 def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """uint32[SLOTS]: about how many texts have a shingle of each slot.  Used for an order only, so a partition's counts may end at 65535."""
+    """uint64[SLOTS]: about how many texts have a shingle of each slot.  Used for an order only, so a partition's counts may end at 65535."""
     most = np.iinfo(np.uint16).max
 
     def count(batches):
         held = np.zeros(SLOTS, np.uint32)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             for t in b.column("text").to_pylist():
                 np.add.at(held, (_set(t, words) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
         held = np.minimum(held, most).astype(np.uint16).reshape(-1, CHUNK)
@@ -422,50 +424,53 @@ def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[i] = held.get(i, 0) + np.frombuffer(x, np.uint16).astype(np.uint32)
+                held[i] = held.get(i, 0) + np.frombuffer(x, np.uint16).astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "counts"])
 
     sent = texts.select("text").mapInArrow(count, "chunk long, counts binary").repartition("chunk")
-    out = np.zeros((SLOTS // CHUNK, CHUNK), np.uint32)
+    out = np.zeros((SLOTS // CHUNK, CHUNK), np.uint64)
     for r in sent.mapInArrow(add, "chunk long, counts binary").collect():  # SLOTS numbers
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
     return out.reshape(-1)
 
 
-def _prefix_rows(texts: DataFrame, words: int, similarity: float, tile: int) -> DataFrame:
+def _prefix_rows(texts: DataFrame, words: int, similarity: float, slots: np.ndarray) -> DataFrame:
     """(key, node, label, place): every text at the first n - ceil(similarity n) + 1 of its n shingles, rare ones first.
 
-    ``place`` is the shingle's position in that order, with n above it.  A hot shingle's rows go to every pair of tiles that holds theirs.
+    ``place`` is the shingle's position in that order, with n above it.
     """
-    slots = _slot_counts(texts, words)
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for node, label, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s = _set(text, words)
                 often = slots[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
                 take = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
-                order = np.lexsort((s, often))[:take]
-                key, at, tiles = s[order], np.arange(len(order)), -(-often[order].astype(np.int64) // tile)
-                if len(tiles) and tiles.max() > 1:
-                    tiles = np.maximum(tiles, 1)
-                    own = np.repeat((xxhash.xxh64_intdigest(str(node), 7) % tiles.astype(object)).astype(np.int64), tiles)
-                    other = np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-                    key, at = np.repeat(key, tiles), np.repeat(at, tiles)
-                    mark = np.minimum(own, other) * 65536 + np.maximum(own, other)
-                    key = key ^ (mark.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                key = s[np.lexsort((s, often))[:take]]
                 cols[0].append(key.view(np.int64))
                 cols[1].append(np.full(len(key), node))
                 cols[2].append(np.full(len(key), label))
-                cols[3].append(at + (len(s) << 32))
+                cols[3].append(np.arange(len(key)) + (len(s) << 32))
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["key", "node", "label", "place"])
-            give_back()
+        give_back()
 
     return texts.mapInArrow(run, "key long, node long, label long, place long")
 
 
+def _tiled(rows: DataFrame, hot: DataFrame, tile: int) -> DataFrame:
+    """``rows`` (key, node, ...), those of the keys in ``hot`` (hot, m rows) once for every pair of tiles that holds theirs."""
+    if not hot.head(1):
+        return rows
+    k = F.ceil(F.col("m") / tile).cast("int")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), k).cast("int"), F.lit(0))
+    other = F.explode(F.when(F.col("m").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), k - 1)))
+    t = rows.join(checked_broadcast(hot), F.col("key") == F.col("hot"), "left").withColumn("own", own).withColumn("other", other)
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return t.select(F.when(F.col("m").isNull(), F.col("key")).otherwise(pair).alias("key"), *[c for c in rows.columns if c != "key"])
+
+
 def _pairs_apart(key: np.ndarray, label: np.ndarray, place: np.ndarray, similarity: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows, sorted by (key, label), that have one key and two labels and whose sizes and places allow ``similarity``."""
     n, at = place >> 32, place & 0xFFFFFFFF
@@ -566,17 +571,22 @@ def _met(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, ti
         order = np.lexsort((label, key))
         key, node, label, place = key[order], node[order], label[order], place[order]
         seen = np.zeros(len(key), bool)
-        for a, b in _pairs_apart(key, label, place, similarity, 2_000_000):
+        for a, b in _pairs_apart(key, label, place, similarity, 250_000):
             seen[a], seen[b] = True, True
         if seen.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (key, node, place)], names=["key", "node", "place"])
 
-    rows = _prefix_rows(texts, words, similarity, tile).repartition("key").sortWithinPartitions("key")
+    slots = _slot_counts(texts, words)
+    # which buckets are hot is estimated, as a range exchange does it, from one text in ``PLAN``: any split gives the same pairs
+    some = _prefix_rows(texts.filter(F.pmod(F.xxhash64("node", F.lit("plan")), F.lit(PLAN)) == 0), words, similarity, slots)
+    hot = some.groupBy(F.col("key").alias("hot")).agg((F.count("*") * PLAN).alias("m")).filter(F.col("m") > tile)
+    hot = materialize(hot, "dedup-hot")
+    rows = _tiled(_prefix_rows(texts, words, similarity, slots), hot, tile).repartition("key").sortWithinPartitions("key")
     live = materialize(rows.mapInArrow(_by_key(meet), "key long, node long, place long"), "dedup-live")
     met = materialize(live.select(F.col("node").alias("id")).distinct(), "dedup-met")
     sets = _hashes(docs.join(checked_broadcast(met), docs["doc_id"] == F.col("id"), "left_semi").select("doc_id", "text"), words, None, "dedup-sets")
     bits = materialize(_bit_sketches(sets), "dedup-bits")
-    return live.join(checked_broadcast(bits, 300_000), "node"), sets, [live, met, bits]
+    return live.join(checked_broadcast(bits, 300_000), "node"), sets, [hot, live, met, bits]
 
 
 def _join_apart(docs: DataFrame, labelled: DataFrame, words: int, similarity: float, tile: int = 32768) -> DataFrame:
@@ -681,12 +691,11 @@ def _hashes(docs: DataFrame, words: int, most: int | None, label: str) -> DataFr
     """Stored (doc_id, n, s): how many distinct shingles a text has and their sorted hashes, all or the ``most`` smallest."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             sets = [np.sort(_set(t, words).view(np.int64)) for t in b.column("text").to_pylist()]
             kept = pa.array([s[:most] for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), kept], names=["doc_id", "n", "s"])
-            del sets, kept
-            give_back()
+        give_back()
 
     return materialize(docs.mapInArrow(run, "doc_id long, n int, s array<long>"), label)  # rows that repeat an id repeat links, which is harmless
 
