@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH_ROWS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,9 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows, so Arrow batches get ``BATCH_ROWS`` of them, if the session has Spark's own default of 10,000.
+
+    Batches are held by the JVM outside its heap and by Python at once.  The setting stays with the session.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, outlives executors, gives exact sizes."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/kestrel-llm/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -72,6 +83,7 @@ def with_arrow(df: DataFrame, make: Callable[[], Callable], fields: list[T.Struc
 
     An input column that has the name of a new field gives way to it.
     """
+    small_batches(df.sparkSession)
     base = without(df, [f.name for f in fields])
     names = [f.name for f in fields]
 

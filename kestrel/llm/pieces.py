@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import give_back, with_arrow
+from .common import give_back, small_batches, with_arrow
 
 SPACE_MARK = "▁"
 #: Log probability below which a prefix cannot matter beside the sets that branch off before it.
@@ -570,4 +570,5 @@ def digests(docs: DataFrame, model: PieceModel, k: int = 2) -> DataFrame:
             names = ["doc_id", "n_samples", "n_pieces", "ids_md5", "log_prob", "log_inclusion", "all_distinct", "round_trip"]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_samples int, n_pieces array<int>, ids_md5 array<string>, log_prob array<double>, log_inclusion array<double>, all_distinct boolean, round_trip boolean")
